@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import patterns as P
@@ -97,3 +97,15 @@ def peak_level(steps: Column) -> Column:
 def joined(names: Column) -> Column:
     """A name list as one sorted text."""
     return F.array_join(F.array_sort(names), ",")
+
+
+def settle(frame: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add ``columns``, each computed once per row.
+
+    Filters on a projected column are rewritten onto its definition, which would
+    repeat costly text expressions several times over. A one-row generator is a
+    place that filters do not pass.
+    """
+    kept = [name for name in frame.columns if name not in columns]
+    fields = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return frame.select(*kept, F.inline(F.array(fields)))

@@ -80,20 +80,24 @@ def high_weight_tables(statements: DataFrame, tables: DataFrame) -> DataFrame:
     return used.join(clean_list(tables), "name").groupBy("unit_id", "name").agg(F.count("*").alias("n"))
 
 
-def nested_calls(units: DataFrame, functions: DataFrame) -> DataFrame:
-    """(unit, callee, n) without custom functions; Hive counts every CALL."""
+def nested_calls(units: DataFrame, functions: DataFrame, keys: tuple[str, ...] = ("unit_id",)) -> DataFrame:
+    """(unit, callee, n) without custom functions; Hive counts every CALL.
+
+    The calls of a unit sit in one row, so the count is complete before the
+    shuffle and the join with the list sees each callee once per unit.
+    """
     called = units.select(
-        "unit_id",
+        *keys,
         "dialect",
         F.explode(called_names(F.col("source_code"), F.col("dialect"), F.col("unit_name"))).alias("callee"),
     )
     listed = clean_list(functions).select(F.col("name").alias("callee"), F.lit(True).alias("listed"))
     return (
-        called.groupBy("unit_id", "dialect", "callee")
+        called.groupBy(*keys, "dialect", "callee")
         .agg(F.count("*").alias("n"))
         .join(listed, "callee", "left")
         .filter((F.col("dialect") == P.HIVE) | F.col("listed").isNull())
-        .select("unit_id", "callee", "n")
+        .select(*keys, "callee", "n")
     )
 
 

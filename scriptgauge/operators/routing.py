@@ -51,8 +51,11 @@ def package_name(clean, fallback):
 
 def with_package(scripts: DataFrame) -> DataFrame:
     """Add the comment-free text, whether it is a package, and the package's name."""
-    clean = scripts.withColumn("clean", T.without_comments(F.col("src"))).withColumn("base_name", base_name(F.col("path")))
-    return clean.withColumn("is_package", package_flag(F.col("dialect"), F.col("clean"))).withColumn(
+    clean = T.settle(
+        scripts, {"clean": T.without_comments(F.col("src")), "base_name": base_name(F.col("path"))}
+    )
+    flagged = T.settle(clean, {"is_package": package_flag(F.col("dialect"), F.col("clean"))})
+    return flagged.withColumn(
         "package_name", F.when(F.col("is_package"), package_name(F.col("clean"), F.col("base_name")))
     )
 
@@ -67,5 +70,5 @@ def failure_reason(dialect, src):
 
 def split_failed(scripts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Scripts that can be measured and, with a reason, those that cannot. Nothing is dropped silently."""
-    marked = scripts.withColumn("fail_reason", failure_reason(F.col("dialect"), F.col("src")))
+    marked = T.settle(scripts, {"fail_reason": failure_reason(F.col("dialect"), F.col("src"))})
     return marked.filter("fail_reason IS NULL").drop("fail_reason"), marked.filter("fail_reason IS NOT NULL")

@@ -112,13 +112,11 @@ def classify(statements: DataFrame) -> DataFrame:
     """
     sql, dialect = F.col("sql"), F.col("dialect")
     origin = F.col("origin") if "origin" in statements.columns else None
-    return (
-        statements.withColumn("parsed_type", type_of(sql, dialect, origin))
-        .withColumn("fail_reason", fail_reason(sql, F.col("parsed_type"), dialect))
-        .withColumn("type", kept_type(F.col("parsed_type"), F.col("fail_reason")))
-    )
+    typed = T.settle(statements, {"parsed_type": type_of(sql, dialect, origin)})
+    checked = T.settle(typed, {"fail_reason": fail_reason(sql, F.col("parsed_type"), dialect)})
+    return checked.withColumn("type", kept_type(F.col("parsed_type"), F.col("fail_reason")))
 
 
 def prepare(statements: DataFrame) -> DataFrame:
     """Single statements as they arrive: strip comments and outer blanks first."""
-    return statements.withColumn("sql", T.trimmed(T.without_comments(F.col("sql"))))
+    return T.settle(statements, {"sql": T.trimmed(T.without_comments(F.col("sql")))})

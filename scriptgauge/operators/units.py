@@ -9,6 +9,8 @@ from ..functions import patterns as P
 from ..functions import text as T
 from .routing import with_package
 
+SCRIPT_KEYS = ["script_id", "path", "dialect", "schema_name", "ts", "package_name"]
+
 
 def _chunks() -> F.Column:
     """Parts of the comment-free text that start at a unit header, in text order."""
@@ -109,8 +111,8 @@ def split_units(scripts: DataFrame) -> DataFrame:
         .otherwise(named)
     )
     return (
-        base.select("script_id", "path", "dialect", "schema_name", "package_name", F.explode(units).alias("u"))
-        .select("script_id", "path", "dialect", "schema_name", "package_name", "u.*")
+        base.select(*SCRIPT_KEYS, F.explode(units).alias("u"))
+        .select(*SCRIPT_KEYS, "u.*")
         .withColumn("unit_id", F.concat_ws(":", "script_id", "key"))
         .withColumn("qualified_name", F.concat_ws(".", "package_name", "unit_name"))
         .drop("key")

@@ -12,6 +12,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.text import settle
+
 
 def text_expression(template: str, **values: str) -> str:
     """A SQL string expression for ``template``; ``{name}`` becomes the SQL in ``values``."""
@@ -71,7 +73,7 @@ SELECT c1 FROM dim_region""",
 MERGE INTO {tgt} d USING {src} s ON (d.id = s.id)
 WHEN MATCHED THEN UPDATE SET d.v = s.v
 WHEN NOT MATCHED THEN INSERT (id, v) VALUES (s.id, s.v)""",
-    "'SELECT c1 FROM {t1} a JOIN {t2} b ON a.id = b.id WHERE a.id = ' || v_id || ' AND b.k = {n}'",
+    "'SELECT c1 FROM {t1} a JOIN {t2} b ON a.id = b.id WHERE a.id = '||v_id||' AND b.k = {n}'",
     """
 INSERT OVERWRITE TABLE {tgt}
 SELECT u.id, e.tag, SUM(u.v) OVER (PARTITION BY u.id ORDER BY u.d) AS s
@@ -196,7 +198,7 @@ CREATE OR REPLACE PROCEDURE {name}(p_v NUMBER) IS
 BEGIN
   EXECUTE IMMEDIATE 'UPDATE {t1} SET v = 1 WHERE id = 5';
   EXECUTE IMMEDIATE v_sql USING p_v, v_sql;
-  v_sql := 'SELECT id FROM {t2} WHERE k = ' || p_v;
+  SELECT id INTO v_sql FROM {t2} WHERE note = 'k='||p_v||' x' AND id = 'a' || 'b';
   SELECT MAX(v) INTO v_sql FROM {t2} WHERE d = :d AND e = :e;
 END {name};""",
     """
@@ -296,7 +298,7 @@ SELECT 'o' || {_text('o_orderkey')} AS script_id,
        CASE WHEN o_orderkey % 97 = 5 THEN 'Sybase' WHEN o_custkey % 3 = 0 THEN 'Oracle'
             WHEN o_custkey % 3 = 1 THEN 'Gauss' ELSE 'Hive' END AS dialect,
        CASE WHEN o_orderkey % 5 = 1 THEN NULL ELSE 'sch_' || {_text('o_custkey % 4')} END AS schema_name,
-       o_orderdate AS ts,
+       CAST(o_orderdate AS TIMESTAMP) AS ts,
        {choose('o_orderkey % 12', PROCEDURES, **values)} AS src
 FROM orders
 """
@@ -405,7 +407,7 @@ SELECT event_id AS line_no,
             || '","filePath":"' || (CASE WHEN event_id % 8 = 0 THEN '/etc/x' ELSE 'in/pkg/pkg_' || {_text('user_id % 150')} || '.sql' END)
             || '","originalFilename":"pkg_' || {_text('user_id')} || '.v1.sql","contactPerson":"u' || {_text('user_id')}
             || '","contactInfo":"u' || {_text('user_id')} || '@x"}}' END AS line,
-       ts
+       CAST(ts AS TIMESTAMP) AS ts
 FROM events
 """
 
@@ -432,14 +434,19 @@ def spread(rows: DataFrame, keys: list[str] | None) -> DataFrame:
     return rows.repartition(wanted, *keys)
 
 
-def derive(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """Run one of the corpus expressions on the parquet tables below ``sf_dir``."""
+def derive(spark: SparkSession, sf_dir: str, sql: str, source: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Run one of the corpus expressions on the parquet tables below ``sf_dir`` or on frames given in ``source``."""
     for name in TABLES:
         used = rf"\bFROM {name}\b"
         if re.search(used, sql):
-            spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"), KEYS.get(name)).createOrReplaceTempView(f"corpus_{name}")
+            rows = (source or {}).get(name)
+            if rows is None:
+                rows = spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"), KEYS.get(name))
+            rows.createOrReplaceTempView(f"corpus_{name}")
             sql = re.sub(used, f"FROM corpus_{name}", sql)
-    return spark.sql(sql)
+    frame = spark.sql(sql)
+    texts = [name for name in ("src", "sql", "line") if name in frame.columns]
+    return settle(frame, {name: frame[name] for name in texts}) if texts else frame
 
 
 def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
