@@ -140,7 +140,8 @@ def _statement_text() -> str:
 
 
 CORPUS_STATEMENTS = f"""
-SELECT {_text('l_orderkey')} || '-' || {_text('l_linenumber')} || '-' || {_text('l_partkey')} || '-' || {_text('l_suppkey')} AS stmt_id,
+SELECT {_text('l_orderkey')} || '-' || {_text('l_linenumber')} || '-' || {_text('l_partkey')} || '-' || {_text('l_suppkey')}
+         || '-' || {_text('CAST(floor(l_extendedprice) AS BIGINT)')} AS stmt_id,
        CASE l_orderkey % 3 WHEN 0 THEN 'Oracle' WHEN 1 THEN 'Gauss' ELSE 'Hive' END AS dialect,
        {_statement_text()} AS sql
 FROM lineitem
