@@ -709,7 +709,7 @@ def _finals() -> dict[str, str]:
     add(
         "package_rollup",
         """SELECT script_id, package_name, count(*) AS units, CAST(sum(statement_count) AS BIGINT) AS statements, CAST(sum(unit_lines) AS BIGINT) AS lines,
-           round(avg(score), 4) AS avg_score, max(score) AS max_score, arg_max(unit_name, (score, unit_name)) AS most_complex
+           CAST(sum(CAST(score AS DECIMAL(28, 6))) AS DOUBLE) / count(*) AS avg_score, max(score) AS max_score, arg_max(unit_name, (score, unit_name)) AS most_complex
            FROM scores WHERE package_name IS NOT NULL GROUP BY 1, 2""",
         "scores",
     )
@@ -799,8 +799,8 @@ def _finals() -> dict[str, str]:
     )
     add(
         "score_over_time",
-        """SELECT dialect, strftime(day, '%Y-%m-%d') AS day, units, CAST(sum(units) OVER w AS BIGINT) AS running_units, round(CAST(total AS DOUBLE), 4) AS total,
-           round(CAST(sum(total) OVER w AS DOUBLE), 4) AS running_total, units - coalesce(lag(units) OVER w, 0) AS change
+        """SELECT dialect, strftime(day, '%Y-%m-%d') AS day, units, CAST(sum(units) OVER w AS BIGINT) AS running_units, CAST(total AS DOUBLE) AS total,
+           CAST(sum(total) OVER w AS DOUBLE) AS running_total, units - coalesce(lag(units) OVER w, 0) AS change
            FROM (SELECT dialect, CAST(ts AS DATE) AS day, count(*) AS units, sum(CAST(score AS DECIMAL(28, 6))) AS total FROM scores GROUP BY 1, 2)
            WINDOW w AS (PARTITION BY dialect ORDER BY day ROWS UNBOUNDED PRECEDING)""",
         "scores",
