@@ -42,7 +42,7 @@ def called_suffixes(source: Column) -> Column:
 
 def called_names(source: Column, dialect: Column, unit_name: Column) -> Column:
     """Upper-case names of called procedures, one entry per call, without built-ins and self calls."""
-    text = F.regexp_replace(F.upper(source), P.INTO_NAME, "INTO")
+    text = F.regexp_replace(F.upper(source), P.INTO_NAME, ";")
 
     def without_builtins(names: Column, builtins: list[str]) -> Column:
         builtin = f"^(?:{'|'.join(builtins)})(?:[.]|$)"

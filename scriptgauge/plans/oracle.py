@@ -352,7 +352,7 @@ TRANSACTION_PEAK = f"CAST(greatest(1, CASE WHEN {PAIRS} > 0 THEN {PAIRS} ELSE {_
 
 
 def _called(dialect: str) -> str:
-    text = f"regexp_replace(upper({S}), {rx(P.INTO_NAME)}, 'INTO', 'g')"
+    text = f"regexp_replace(upper({S}), {rx(P.INTO_NAME)}, ';', 'g')"
     words = listed(BUILTINS[dialect])
     return f"""list_filter({every(text, P.ANY_CALL, 1)}, lambda x: {has('x', P.VALID_NAME)}
       AND NOT list_contains({words}, x) AND NOT list_contains({words}, str_split(x, '.')[1]))"""

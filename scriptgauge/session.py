@@ -13,6 +13,10 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # methods above this size are not compiled by the JVM; wide text projections run faster split up
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    # plans hold thousands of small expressions, each of which would record its Python call site
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }

@@ -27,9 +27,7 @@ def read_script_table(spark: SparkSession, path: str, fmt: str = "parquet") -> D
 def read_sql_files(spark: SparkSession, path: str) -> DataFrame:
     """One row per file below ``path``, any depth, with the file's path."""
     return (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .text(path)
+        spark.read.text(path, wholetext=True, recursiveFileLookup=True)
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("src"))
     )
 
