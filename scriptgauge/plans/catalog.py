@@ -165,8 +165,8 @@ def feedback_quarantine(spark, sf):
 
 @query
 def feedback_join_scripts(spark, sf):
-    joined = feedback.with_script(corpus.feedback_lines(spark, sf), corpus.scripts(spark, sf), "in/")
-    return joined.select("line_no", "script_id", size_of("src").alias("chars"))
+    stored = corpus.scripts(spark, sf).select("path", "script_id", size_of("src").alias("chars"))
+    return feedback.with_script(corpus.feedback_lines(spark, sf), stored, "in/").select("line_no", "script_id", "chars")
 
 
 # --- text preparation ------------------------------------------------------
@@ -464,7 +464,7 @@ def corpus_cube(spark, sf):
 
 @query
 def hot_tables(spark, sf):
-    return corpus_ops.hot_tables(tables.table_refs(_statements(spark, sf), ["stmt_id"]))
+    return corpus_ops.hot_tables(_statements(spark, sf))
 
 
 @query
