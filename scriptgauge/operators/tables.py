@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
+from .statements import statement_structs, type_of
 
-UNKNOWN_TABLE, DYNAMIC_TABLE = "UNKNOWN", "DYNAMIC_TABLE"
+DYNAMIC_TABLE = "DYNAMIC_TABLE"
 
 
 def _lowered(names: Column) -> Column:
@@ -146,22 +147,26 @@ def dynamic_table_refs(statements: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def unit_tables(statements: DataFrame) -> DataFrame:
-    """Distinct tables of a unit, case-insensitive, as one sorted list."""
-    refs = with_names(statements).select(
-        "unit_id", F.explode(F.array_distinct(F.concat("reads", "writes", "dynamic_refs"))).alias("table_name")
-    )
-    return refs.groupBy("unit_id").agg(
-        F.countDistinct("table_name").alias("table_count"), T.joined(F.collect_set("table_name")).alias("table_list")
+def unit_refs(source: Column, dialect: Column) -> Column:
+    """Tables of all statements of a unit, from its text, inside the row."""
+    typed = F.transform(
+        statement_structs(source, dialect),
+        lambda s: F.struct(s["sql"].alias("sql"), type_of(s["sql"], dialect, s["origin"]).alias("kind")),
     )
+    return F.array_distinct(F.flatten(F.transform(typed, lambda s: F.concat(*name_columns(s["sql"], s["kind"]).values()))))
 
 
-def type_declaration_tables(units: DataFrame, statements: DataFrame) -> DataFrame:
-    """Tables a unit names only in ``table.column%TYPE`` declarations."""
-    declared = units.select(
-        "unit_id", F.explode(_lowered(T.all_matches(F.col("source_code"), P.TYPE_DECLARATION, 1))).alias("table_name")
-    )
-    used = with_names(statements).select(
-        "unit_id", F.explode(F.concat("reads", "writes", "dynamic_refs")).alias("table_name")
+def unit_tables(units: DataFrame) -> DataFrame:
+    """Distinct tables of a unit, case-insensitive, as one sorted list. No shuffle."""
+    found = T.settle(units.select("unit_id", "dialect", "source_code"), {"refs": unit_refs(F.col("source_code"), F.col("dialect"))})
+    return found.filter(F.size("refs") > 0).select(
+        "unit_id", F.size("refs").cast("bigint").alias("table_count"), T.joined(F.col("refs")).alias("table_list")
     )
-    return declared.join(used, ["unit_id", "table_name"], "left_anti")
+
+
+def type_declaration_tables(units: DataFrame) -> DataFrame:
+    """Tables a unit names only in ``table.column%TYPE`` declarations: an anti join inside the row."""
+    source = F.col("source_code")
+    declared = _lowered(T.all_matches(source, P.TYPE_DECLARATION, 1))
+    only = F.array_except(declared, unit_refs(source, F.col("dialect")))
+    return units.filter(F.upper(source).contains("%TYPE")).select("unit_id", F.explode(only).alias("table_name"))

@@ -301,13 +301,12 @@ def dynamic_table_refs(spark, sf):
 
 @query
 def unit_tables(spark, sf):
-    return tables.unit_tables(_unit_statements(spark, sf))
+    return tables.unit_tables(_units(spark, sf))
 
 
 @query
 def type_decl_tables(spark, sf):
-    unit_rows = _units(spark, sf)
-    return tables.type_declaration_tables(unit_rows, statements.classify(statements.extract_statements(unit_rows)))
+    return tables.type_declaration_tables(_units(spark, sf))
 
 
 # --- statement features ----------------------------------------------------
