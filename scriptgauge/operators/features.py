@@ -130,7 +130,7 @@ def measured(statements: Column, dialect: Column, weights: Column) -> Column:
         typed,
         lambda s: {
             "fail_reason": fail_reason(s["sql"], s["parsed_type"], dialect),
-            **name_columns(s["sql"], s["parsed_type"]),
+            **name_columns(s["sql"], s["parsed_type"], s["upper_sql"]),
         },
     )
     kept = extend(checked, lambda s: {"type": kept_type(s["parsed_type"], s["fail_reason"])})

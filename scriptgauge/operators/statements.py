@@ -46,9 +46,14 @@ def statement_structs(source: Column, dialect: Column) -> Column:
     ``array_except`` is a hash anti join inside the row, so no shuffle is needed
     and the same expression works on a stream.
     """
-    found = body_statements(source, dialect)
-    calls = F.array_except(body_calls(source), found)
-    return F.concat(_tagged(found, SQL), _tagged(calls, CALL), _tagged(dynamic_literals(source, dialect), DYNAMIC))
+    return T.bind(
+        body_statements(source, dialect),
+        lambda found: F.concat(
+            _tagged(found, SQL),
+            _tagged(F.array_except(body_calls(source), found), CALL),
+            _tagged(dynamic_literals(source, dialect), DYNAMIC),
+        ),
+    )
 
 
 def extract_statements(units: DataFrame) -> DataFrame:
@@ -65,14 +70,14 @@ def is_dynamic(sql: Column) -> Column:
 
 
 def keyword_type(sql: Column, dialect: Column) -> Column:
-    word = F.upper(F.regexp_extract(sql, P.FIRST_WORD, 1))
-    return (
-        F.when(word.isin("SELECT", "WITH"), "SELECT")
+    return T.bind(
+        F.upper(F.regexp_extract(sql, P.FIRST_WORD, 1)),
+        lambda word: F.when(word.isin("SELECT", "WITH"), "SELECT")
         .when(word.isin(*P.SIMPLE_TYPES), word)
         .when(sql.rlike(P.TRANSACTION_WORD), F.upper(F.regexp_extract(sql, P.TRANSACTION_WORD, 1)))
         .when(sql.rlike(P.LEADING_CALL), "CALL")
         .when((dialect == P.HIVE) & word.isin(*P.HIVE_TYPES), word)
-        .otherwise("UNKNOWN")
+        .otherwise("UNKNOWN"),
     )
 
 

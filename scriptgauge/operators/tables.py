@@ -63,14 +63,16 @@ def ddl_target(sql: Column, kind: Column) -> Column:
     return result
 
 
-def name_columns(sql: Column, kind: Column) -> dict[str, Column]:
+def name_columns(sql: Column, kind: Column, upper: Column | None = None) -> dict[str, Column]:
     """``reads``, ``writes`` and ``dynamic_refs`` of a statement by its parsed type."""
     none = F.array().cast("array<string>")
+    upper = F.upper(sql) if upper is None else upper
     is_dynamic = kind == "DYNAMIC_SQL"
-    no_source = is_dynamic | ~T.has_any(F.upper(sql), "FROM", "JOIN", "USING")
+    no_source = is_dynamic | ~T.has_any(upper, "FROM", "JOIN", "USING")
+    no_target = is_dynamic | (kind == "SELECT") | ~T.has_any(upper, "INTO", "OVERWRITE", "UPDATE", "DELETE")
     return {
         "reads": F.when(no_source, none).otherwise(read_names(sql, kind)),
-        "writes": F.when(is_dynamic | (kind == "SELECT"), none).otherwise(write_names(sql)),
+        "writes": F.when(no_target, none).otherwise(write_names(sql)),
         "dynamic_refs": F.when(is_dynamic, dynamic_names(sql)).otherwise(none),
     }
 
