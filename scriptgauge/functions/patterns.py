@@ -149,7 +149,6 @@ OPEN_FOR = r"(?i)\bOPEN\s+\w+\s+FOR\s+\w+"
 BIND_VARIABLE = r":\w+"
 USING_CLAUSE = r"(?i)\bUSING\s+[^;]+"
 TRANSACTION_CONTROL = r"(?i)\b(COMMIT|ROLLBACK|SAVEPOINT)\b"
-ROLLBACK_TO_SAVEPOINT = r"(?i)\bROLLBACK\s+TO\s+SAVEPOINT\b"
 SAVEPOINT_NAME = r"(?i)\bSAVEPOINT\s+(\w+)"
 ROLLBACK_NAME = r"(?i)\bROLLBACK\s+TO\s+(?:SAVEPOINT\s+)?(\w+)"
 ROLLBACK_BLOCK = r"(?i)\bBEGIN\b[\s\S]*?\bEXCEPTION\b[\s\S]*?\bROLLBACK\b[\s\S]*?\bEND\b"

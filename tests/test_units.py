@@ -1,7 +1,6 @@
 """Units, their features and scores on small texts."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from scriptgauge.functions import patterns as P
 from scriptgauge.operators import features, names, packages, statements, unit_features, units
@@ -225,4 +224,3 @@ def test_plan_never_shuffles_text(spark):
     plan = score_scripts(frame, features.weight_table(spark), empty, empty, empty)._jdf.queryExecution().optimizedPlan().toString()
     aggregate = next(line for line in plan.splitlines() if "Aggregate [unit_id" in line and "collect_list" in line)
     assert "source_code" not in aggregate and "src" not in aggregate
-    assert F.col("x") is not None
