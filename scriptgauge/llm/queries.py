@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptgauge.llm import token_counts
-from scriptgauge.llm.common import table
+from scriptgauge.llm import simhash, token_counts
+from scriptgauge.llm.common import settled, table
 
 PIECES = "piece_bpe_32k.model"
 TOKEN_LIMIT = 4096
@@ -21,8 +21,14 @@ def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op9_simhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    marked = settled(simhash.fingerprints(table(spark, folder, "documents")), "fingerprints")
+    return simhash.near_duplicates(marked).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
+    "op9_simhash_near_duplicates": op9_simhash_near_duplicates,
 }
 
 SQL: dict[str, str] = {}
