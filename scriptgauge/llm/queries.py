@@ -8,13 +8,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptgauge.llm import simhash, token_counts
+from scriptgauge.llm import mixing, simhash, token_counts, warc
 from scriptgauge.llm.common import settled, table
+from scriptgauge.llm.sql import SQL  # noqa: F401
 
 PIECES = "piece_bpe_32k.model"
 TOKEN_LIMIT = 4096
 
 
+def op1_warc_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    records = warc.archive_round_trip(table(spark, folder, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    found = mixing.copies(table(spark, folder, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     counted = token_counts.count_tokens(docs.withColumn("n_bytes", F.octet_length(F.coalesce("text", F.lit(""))).cast("long")), public_tokenizers.path(PIECES))
@@ -27,8 +38,8 @@ def op9_simhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_round_trip": op1_warc_round_trip,
+    "op6_mix_sources": op6_mix_sources,
     "op8_token_counts": op8_token_counts,
     "op9_simhash_near_duplicates": op9_simhash_near_duplicates,
 }
-
-SQL: dict[str, str] = {}
