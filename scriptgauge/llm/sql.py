@@ -16,4 +16,18 @@ SELECT page_id, payload_bytes,
 FROM grouped
 """
 
-SQL = {"op1_warc_round_trip": WARC}
+VECTORS = """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.95
+), reach AS (
+  SELECT vec_id AS x, vec_id AS y FROM embeddings
+  UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+), counted AS (SELECT x, count(*) AS n FROM links GROUP BY x), first AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
+SELECT e.vec_id, coalesce(n, 0) AS n_links, f.y AS component_id, e.vec_id = f.y AS kept
+FROM embeddings e JOIN first f ON f.x = e.vec_id LEFT JOIN counted c ON c.x = e.vec_id
+"""
+
+SQL = {"op1_warc_round_trip": WARC, "op2_vector_near_duplicates": VECTORS}
