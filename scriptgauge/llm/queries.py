@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptgauge.llm import mixing, simhash, token_counts, vectors, warc
+from scriptgauge.llm import mixing, simhash, sketches, token_counts, vectors, warc
 from scriptgauge.llm.common import settled, table
 from scriptgauge.llm.sql import SQL  # noqa: F401
 
@@ -25,6 +25,11 @@ def op2_vector_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, folder, "embeddings"))
 
 
+def op3_sketch_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    found = sketches.compare_with_edit(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op6_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     found = mixing.copies(table(spark, folder, "documents"))
     return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -44,6 +49,7 @@ def op9_simhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_round_trip": op1_warc_round_trip,
     "op2_vector_near_duplicates": op2_vector_near_duplicates,
+    "op3_sketch_fingerprints": op3_sketch_fingerprints,
     "op6_mix_sources": op6_mix_sources,
     "op8_token_counts": op8_token_counts,
     "op9_simhash_near_duplicates": op9_simhash_near_duplicates,
