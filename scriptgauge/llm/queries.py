@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptgauge.llm import mixing, simhash, sketches, token_counts, vectors, warc
+from scriptgauge.llm import langid, mixing, simhash, sketches, token_counts, vectors, warc
 from scriptgauge.llm.common import settled, table
 from scriptgauge.llm.sql import SQL  # noqa: F401
 
@@ -30,6 +30,12 @@ def op3_sketch_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").withColumn("held_out", langid.held_out())
+    model = langid.fit(docs.where("not held_out").select("text", "lang"), langid.vocabulary(public_tokenizers.path(PIECES)))
+    return langid.predict(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op6_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     found = mixing.copies(table(spark, folder, "documents"))
     return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -50,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_round_trip": op1_warc_round_trip,
     "op2_vector_near_duplicates": op2_vector_near_duplicates,
     "op3_sketch_fingerprints": op3_sketch_fingerprints,
+    "op5_language_id": op5_language_id,
     "op6_mix_sources": op6_mix_sources,
     "op8_token_counts": op8_token_counts,
     "op9_simhash_near_duplicates": op9_simhash_near_duplicates,
