@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptgauge.llm import langid, mixing, simhash, sketches, token_counts, vectors, warc
+from scriptgauge.llm import langid, lines, mixing, simhash, sketches, token_counts, vectors, warc
 from scriptgauge.llm.common import settled, table
 from scriptgauge.llm.sql import SQL  # noqa: F401
 
@@ -30,6 +30,10 @@ def op3_sketch_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.line_classes(table(spark, folder, "documents")).drop("mark")
+
+
 def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").withColumn("held_out", langid.held_out())
     model = langid.fit(docs.where("not held_out").select("text", "lang"), langid.vocabulary(public_tokenizers.path(PIECES)))
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_round_trip": op1_warc_round_trip,
     "op2_vector_near_duplicates": op2_vector_near_duplicates,
     "op3_sketch_fingerprints": op3_sketch_fingerprints,
+    "op4_line_dedup": op4_line_dedup,
     "op5_language_id": op5_language_id,
     "op6_mix_sources": op6_mix_sources,
     "op8_token_counts": op8_token_counts,
