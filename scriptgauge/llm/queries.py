@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptgauge.llm import langid, lines, mixing, simhash, sketches, token_counts, vectors, warc
+from scriptgauge.llm import langid, lines, mixing, pieces, simhash, sketches, token_counts, vectors, warc
 from scriptgauge.llm.common import settled, table
 from scriptgauge.llm.sql import SQL  # noqa: F401
 
@@ -45,6 +45,13 @@ def op6_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op7_piece_encoding(spark: SparkSession, folder: str) -> DataFrame:
+    vocabulary = pieces.Vocabulary.load(public_tokenizers.path(PIECES))
+    told = pieces.decode(pieces.encode(table(spark, folder, "documents"), vocabulary, keep=("doc_id", "text")), vocabulary)
+    same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), pieces.SPACE, " ")
+    return told.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", same.alias("round_trip"))
+
+
 def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     counted = token_counts.count_tokens(docs.withColumn("n_bytes", F.octet_length(F.coalesce("text", F.lit(""))).cast("long")), public_tokenizers.path(PIECES))
@@ -63,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
     "op5_language_id": op5_language_id,
     "op6_mix_sources": op6_mix_sources,
+    "op7_piece_encoding": op7_piece_encoding,
     "op8_token_counts": op8_token_counts,
     "op9_simhash_near_duplicates": op9_simhash_near_duplicates,
 }
