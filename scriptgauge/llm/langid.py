@@ -34,9 +34,9 @@ UNKNOWN = "und"
 START = "▁"
 #: Letters of a stretch; probability of a code point outside the vocabulary and least one of a piece.
 LONGEST, FLOOR = 40, 1e-7
-PASSES, SMOOTHING, EVIDENCE_WORDS = 3, 0.1, 20.0
+PASSES, SMOOTHING, EVIDENCE_WORDS = 2, 0.1, 20.0
 #: Words that a worker remembers or counts before it hands them on.
-REMEMBERED, WORD_BATCH = 200_000, 20_000
+REMEMBERED, WORD_BATCH = 400_000, 20_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -46,6 +46,37 @@ def words_of(text: str | None) -> list[str]:
     return found
 
 
+#: What look-ups give for the beginning of a piece, and for anything else; base of the substring hashes.
+BEGINS, ABSENT, FACTOR = -2, -3, np.uint64(0x9E3779B97F4A7C15)
+
+
+@dataclass
+class PieceIndex:
+    """Hashes of all beginnings of pieces in order, with each piece's number or BEGINS."""
+
+    keys: np.ndarray
+    numbers: np.ndarray
+    longest: int
+
+    @classmethod
+    def of(cls, pieces: list[str]) -> PieceIndex:
+        numbers = {p[:i]: BEGINS for p in pieces for i in range(1, len(p) + 1)} | {p: i for i, p in enumerate(pieces)}
+        keys = {}
+        for text, number in numbers.items():
+            mark = 0
+            for c in text:
+                mark = (mark * int(FACTOR) + ord(c) + 1) & (2**64 - 1)
+            keys[mark] = number
+        order = sorted(keys)
+        return cls(np.array(order, dtype=np.uint64), np.array([keys[k] for k in order], dtype=np.int64), max(map(len, pieces), default=0))
+
+    def look_up(self, marks: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.full(len(marks), ABSENT)
+        at = np.minimum(np.searchsorted(self.keys, marks), len(self.keys) - 1)
+        return np.where(self.keys[at] == marks, self.numbers[at], ABSENT)
+
+
 @dataclass
 class Lattice:
     """All pieces inside a batch of words: an edge has its word, start, end and piece (-1: unknown code point)."""
@@ -59,53 +90,54 @@ class Lattice:
     piece: np.ndarray
 
     @classmethod
-    def of(cls, words: list[str], prefixes: dict[str, int]) -> Lattice:
-        """``prefixes`` holds each piece's number and -2 for what only begins pieces."""
-        edges, get = [], prefixes.get
-        for number, word in enumerate(words):
-            text = START + word
-            for i in range(len(text)):
-                single = True
-                for j in range(i + 1, len(text) + 1):
-                    piece = get(text[i:j])
-                    if piece is None:
-                        break
-                    if piece >= 0:
-                        edges.append((number, i, j, piece))
-                        single = single and j != i + 1
-                if single:
-                    edges.append((number, i, i + 1, -1))
-        table = np.array(edges, dtype=np.int64).reshape(-1, 4)
+    def of(cls, words: list[str], pieces: PieceIndex) -> Lattice:
+        """Substrings of all words grow together, one code point at a time, as long as they begin a piece."""
         ends = np.array([len(w) + 1 for w in words], dtype=np.int64)
-        return cls(len(words), int(ends.max(initial=0)), ends, *table.T)
+        codes = np.frombuffer("".join(START + w for w in words).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+        first = np.append(0, np.cumsum(ends))[:-1]
+        owner = np.repeat(np.arange(len(words)), ends)
+        at, mark, found = np.arange(len(codes)), np.zeros(len(codes), np.uint64), []
+        for length in range(1, pieces.longest + 1):
+            inside = at + length <= (first + ends)[owner[at]]
+            at, mark = at[inside], mark[inside]
+            mark = mark * FACTOR + codes[at + length - 1] + np.uint64(1)
+            number = pieces.look_up(mark)
+            if length == 1:
+                found.append((at[number < 0], length, np.full((number < 0).sum(), -1)))
+            found.append((at[number >= 0], length, number[number >= 0]))
+            at, mark = at[number > ABSENT], mark[number > ABSENT]
+        place = np.concatenate([x for x, _, _ in found]) if found else np.zeros(0, np.int64)
+        size = np.concatenate([np.full(len(x), n) for x, n, _ in found]) if found else np.zeros(0, np.int64)
+        word = owner[place]
+        start = place - first[word]
+        return cls(len(words), int(ends.max(initial=0)), ends, word, start, start + size, np.concatenate([x for *_, x in found]) if found else place)
+
+    def _steps(self, place: np.ndarray, chance: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Runs of edges with one start and end, in order of ``place``: start, end, words (each once), chances."""
+        key = (place * 64 + self.end - self.start).astype(np.int16)  # places are at most LONGEST + 1
+        order = np.argsort(key, kind="stable")
+        key, word, chance, start, end = key[order], self.word[order], chance[order], self.start[order], self.end[order]
+        cuts = np.append(np.append(0, np.flatnonzero(np.diff(key)) + 1), len(key)) if len(key) else []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield int(start[a]), int(end[a]), word[a:b], chance[a:b]
 
     def forward(self, chance: np.ndarray) -> np.ndarray:
-        """Sums over segmentations of each prefix, ``(words, positions, models)``; ``chance`` is ``(edges, models)``."""
-        alpha = np.zeros((self.n_words, self.width + 1, chance.shape[1]))
-        alpha[:, 0] = 1.0
-        order = np.argsort(self.end, kind="stable")
-        for edges in np.split(order, np.searchsorted(self.end[order], np.arange(2, self.width + 1))):
-            if len(edges):
-                np.add.at(alpha, (self.word[edges], self.end[edges]), alpha[self.word[edges], self.start[edges]] * chance[edges])
+        """Sums over segmentations of each prefix, ``(positions, words, models)``; ``chance`` is ``(edges, models)``."""
+        alpha = np.zeros((self.width + 1, self.n_words, chance.shape[1]))
+        alpha[0] = 1.0
+        for start, end, word, p in self._steps(self.end, chance):
+            alpha[end][word] += alpha[start][word] * p
         return alpha
 
     def backward(self, chance: np.ndarray) -> np.ndarray:
         """The same for each suffix."""
-        beta = np.zeros((self.n_words, self.width + 1, chance.shape[1]))
-        beta[np.arange(self.n_words), self.ends] = 1.0
-        order = np.argsort(-self.start, kind="stable")
-        for edges in np.split(order, np.searchsorted(-self.start[order], np.arange(1 - self.width, 1))[1:]):
-            if len(edges):
-                np.add.at(beta, (self.word[edges], self.start[edges]), beta[self.word[edges], self.end[edges]] * chance[edges])
+        beta = np.zeros((self.width + 1, self.n_words, chance.shape[1]))
+        beta[self.ends, np.arange(self.n_words)] = 1.0
+        for start, end, word, p in self._steps(self.width - self.start, chance):
+            beta[start][word] += beta[end][word] * p
         return beta
 
 
-def prefix_numbers(pieces: list[str]) -> dict[str, int]:
-    numbers = {p[:i]: -2 for p in pieces for i in range(1, len(p) + 1)}
-    numbers.update({p: i for i, p in enumerate(pieces)})
-    return numbers
-
-
 @dataclass
 class LanguageModel:
     languages: list[str]
@@ -142,7 +174,7 @@ def fit(docs: DataFrame, pieces: list[str], text: str = "text", lang: str = "lan
     languages = sorted(r.lang for r in counts.select("lang").distinct().collect())  # one row per language
     chance = np.full((len(pieces) + 1, len(languages)), 1.0 / max(1, len(pieces)))
     context = docs.sparkSession.sparkContext
-    names = context.broadcast((prefix_numbers(pieces), {name: i for i, name in enumerate(languages)}))
+    names = context.broadcast((PieceIndex.of(pieces), {name: i for i, name in enumerate(languages)}))
     for _ in range(passes if languages else 0):
         now = context.broadcast(chance)
 
@@ -156,9 +188,10 @@ def fit(docs: DataFrame, pieces: list[str], text: str = "text", lang: str = "lan
                     place = np.array([places[x] for x in part.column(0).to_pylist()])
                     p = chance_[lattice.piece, place[lattice.word]][:, None]
                     alpha, beta = lattice.forward(p), lattice.backward(p)
-                    whole = beta[:, 0, 0]
-                    share = alpha[lattice.word, lattice.start, 0] * p[:, 0] * beta[lattice.word, lattice.end, 0] / whole[lattice.word]
-                    np.add.at(total, (lattice.piece, place[lattice.word]), share * np.array(part.column(2).to_pylist())[lattice.word])
+                    whole = beta[0, :, 0]
+                    share = alpha[lattice.start, lattice.word, 0] * p[:, 0] * beta[lattice.end, lattice.word, 0] / whole[lattice.word]
+                    share *= np.array(part.column(2).to_pylist())[lattice.word]
+                    total += np.bincount(np.where(lattice.piece < 0, total.shape[0] - 1, lattice.piece) * total.shape[1] + place[lattice.word], share, total.size).reshape(total.shape)
             total[-1] = 0
             piece, language = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(language), pa.array(total[piece, language])], names=["piece", "language", "n"])
@@ -171,18 +204,18 @@ def fit(docs: DataFrame, pieces: list[str], text: str = "text", lang: str = "lan
     return LanguageModel(languages, pieces, chance)
 
 
-def word_scores(words: list[str], numbers: dict[str, int], chance: np.ndarray) -> np.ndarray:
+def word_scores(words: list[str], numbers: PieceIndex, chance: np.ndarray) -> np.ndarray:
     """log P(word | language), ``(words, languages)``."""
     lattice = Lattice.of(words, numbers)
     alpha = lattice.forward(chance[lattice.piece])
-    return np.log(alpha[np.arange(len(words)), lattice.ends])
+    return np.log(alpha[lattice.ends, np.arange(len(words))])
 
 
 def predict(docs: DataFrame, model: LanguageModel, text: str = "text", label: str = "lang_pred", score: str = "score") -> DataFrame:
     """Appends the predicted language and its score to every row; only the text is looked at."""
     kept = [c for c in docs.columns if c not in (label, score)]
     source = docs.select(*[F.col(f"`{c}`") for c in kept])
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, prefix_numbers(model.pieces), model.chance))
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, PieceIndex.of(model.pieces), model.chance))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, numbers, chance = shared.value

@@ -27,13 +27,13 @@ def test_forward_sums_all_segmentations():
     rng = np.random.default_rng(3)
     chance = np.vstack([rng.random((len(PIECES), 2)), np.full((1, 2), langid.FLOOR)])
     words = ["", "a", "abc", "abcabc", "xaby", "c" * 9, "ab" * 6]
-    got = langid.word_scores(words, langid.prefix_numbers(PIECES), chance)
+    got = langid.word_scores(words, langid.PieceIndex.of(PIECES), chance)
     for k in range(2):
         model = dict(zip(PIECES, chance[:, k], strict=False))
         assert np.allclose(got[:, k], [math.log(segmentations("▁" + w, model)) for w in words])
-    lattice = langid.Lattice.of(words, langid.prefix_numbers(PIECES))
+    lattice = langid.Lattice.of(words, langid.PieceIndex.of(PIECES))
     p = chance[lattice.piece]
-    assert np.allclose(lattice.backward(p)[:, 0], lattice.forward(p)[np.arange(len(words)), lattice.ends])
+    assert np.allclose(lattice.backward(p)[0], lattice.forward(p)[lattice.ends, np.arange(len(words))])
 
 
 def test_held_out_accuracy_over_given_texts(spark, small):
