@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptgauge.llm import langid, lines, mixing, pieces, simhash, sketches, token_counts, vectors, warc
+from scriptgauge.llm import bitmix, langid, lines, mixing, pieces, simhash, sketches, token_counts, vectors, warc
 from scriptgauge.llm.common import settled, table
 from scriptgauge.llm.sql import SQL  # noqa: F401
 
@@ -63,6 +63,13 @@ def op9_simhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(marked).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_bit_mixing_scores(spark: SparkSession, folder: str) -> DataFrame:
+    remainder = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7, F.lit(0))
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    told = bitmix.scored(docs, remainder != 2, remainder == 3)
+    return told.select("doc_id", (remainder == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_round_trip": op1_warc_round_trip,
     "op2_vector_near_duplicates": op2_vector_near_duplicates,
@@ -73,4 +80,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_piece_encoding": op7_piece_encoding,
     "op8_token_counts": op8_token_counts,
     "op9_simhash_near_duplicates": op9_simhash_near_duplicates,
+    "op10_bit_mixing_scores": op10_bit_mixing_scores,
 }
