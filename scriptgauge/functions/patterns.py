@@ -35,7 +35,7 @@ BODY_STATEMENT = {
 _ARGUMENTS = r"\((?:[^()]++|\([^()]*+\))*+\)"
 BODY_CALL = r"\b([\w.]++)\s*+" + _ARGUMENTS + r"\s*;"
 ANY_CALL = r"\b([\w.]++)\s*+" + _ARGUMENTS
-DYNAMIC_LITERAL = r"(?i)\bEXECUTE\s+IMMEDIATE\s+'([^']+)'"
+DYNAMIC_LITERAL = r"(?i)\bEXECUTE\s+IMMEDIATE\s+'((?:[^']++|'')++)'"
 
 # --- packages and units ----------------------------------------------------
 PACKAGE_BODY = r"(?i)\bCREATE\s+(?:OR\s+REPLACE\s+)?PACKAGE\s+BODY\b"
@@ -47,9 +47,8 @@ FUNCTION_HEADER = r"(?i)\bFUNCTION\s+[\w.]+\s*[(\s]"
 UNIT_HEADER = r"(?i)\b(?:PROCEDURE|FUNCTION)\s+[\w.]+\s*[(\s]"
 UNIT_SPLIT = r"(?i)(?=\b(?:PROCEDURE|FUNCTION)\s+[\w.]+\s*[(\s])"
 UNIT_START = r"(?i)^(PROCEDURE|FUNCTION)\s+([\w.]+)"
-UNIT_WITH_BODY = (
-    r"(?i)^(PROCEDURE|FUNCTION)\s+[\w.]+\s*(?:" + _ARGUMENTS + r")?\s*(?:RETURN\s+[\w.%]+)?\s*(?:IS|AS|LANGUAGE)\b"
-)
+# a declaration ends before any of these words, whatever clauses its header has
+UNIT_WITH_BODY = r"(?i)^(?:PROCEDURE|FUNCTION)\s+[^;]*?\b(?:IS|AS|LANGUAGE)\b"
 DANGLING_CREATE = r"(?i)\bCREATE(?:\s+OR\s+REPLACE)?\s*\z"
 CLOSING_END = r"(?i)\bEND(?:\s+[\w.]+)?\s*;[\s/]*\z"
 HIVE_UDF = r"(?i)\bCREATE\s+(?:TEMPORARY\s+)?FUNCTION\s+[\w.]+\s+AS\s+[\s\S]*?;"
@@ -74,7 +73,7 @@ HAS_INTO_TABLE = r"(?i)\bINTO\s+TABLE\b"
 
 # --- table names -----------------------------------------------------------
 DELETE_FROM = r"(?i)\bDELETE\s+FROM\b"
-FROM_LIST = r"(?i)\bFROM\s+([\w.]+(?:\s+\w+)?(?:\s*,\s*[\w.]+(?:\s+\w+)?)*)"
+FROM_LIST = r"(?i)\bFROM\s+([\w.]++(?:\s+(?:AS\s+)?\w+)?(?:\s*+,\s*+[\w.]++(?:\s+(?:AS\s+)?\w+)?)*+)"
 LEADING_NAME = r"^[\w.]+"
 JOIN_NAME = r"(?i)\bJOIN\s+([\w.]+)"
 MERGE_SOURCE = r"(?i)\bUSING\s+([\w.]+)"
@@ -152,6 +151,7 @@ TRANSACTION_CONTROL = r"(?i)\b(COMMIT|ROLLBACK|SAVEPOINT)\b"
 SAVEPOINT_NAME = r"(?i)\bSAVEPOINT\s+(\w+)"
 ROLLBACK_NAME = r"(?i)\bROLLBACK\s+TO\s+(?:SAVEPOINT\s+)?(\w+)"
 ROLLBACK_BLOCK = r"(?i)\bBEGIN\b[\s\S]*?\bEXCEPTION\b[\s\S]*?\bROLLBACK\b[\s\S]*?\bEND\b"
+BLOCK_TOKEN = r"(?i)\b(?:BEGIN|EXCEPTION|ROLLBACK|END)\b"
 BEGIN_TEXT = r"(?i)BEGIN"
 AUTONOMOUS = r"(?i)\bPRAGMA\s+AUTONOMOUS_TRANSACTION\b"
 JAVA_UNIT = r"(?i)\bLANGUAGE\s+JAVA\b"
@@ -160,7 +160,7 @@ JAVA_TYPE = r"(?i)\b(oracle\.sql|java\.lang)\.[A-Za-z]+\b"
 # --- names used in calls ---------------------------------------------------
 CALLED_NAME = r"\b([\w.]++)\s*+\("
 INTO_NAME = r"(?i)\bINTO\s+[\w.]+"
-VALID_NAME = r"^[A-Z][A-Z0-9_]*(\.[A-Z][A-Z0-9_]*)*$"
+VALID_NAME = r"^[A-Z][A-Z0-9_]*+(?:\.[A-Z][A-Z0-9_]*+)*+$"
 HIVE_CALL = r"(?i)\bCALL\s+([\w.]+)"
 
 # --- packages --------------------------------------------------------------

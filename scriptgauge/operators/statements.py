@@ -31,9 +31,10 @@ def body_calls(source: Column) -> Column:
 
 
 def dynamic_literals(source: Column, dialect: Column) -> Column:
-    """Gauss: the literal of EXECUTE IMMEDIATE is a statement of its own."""
+    """Gauss: the literal of EXECUTE IMMEDIATE is a statement of its own, doubled quotes undone."""
     found = F.when((dialect == P.GAUSS) & F.upper(source).contains("IMMEDIATE"), T.all_matches(source, P.DYNAMIC_LITERAL, 1))
-    return F.coalesce(F.transform(found, T.trimmed), F.array().cast("array<string>"))
+    plain = F.transform(found, lambda literal: T.trimmed(F.replace(literal, F.lit("''"), F.lit("'"))))
+    return F.coalesce(plain, F.array().cast("array<string>"))
 
 
 def _tagged(texts: Column, origin: str) -> Column:

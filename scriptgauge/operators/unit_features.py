@@ -96,9 +96,32 @@ def savepoint_pairs(text: Column) -> Column:
     return F.when(text.rlike(P.SAVEPOINT_NAME), total).otherwise(0).cast("bigint")
 
 
+def rollback_block_depth(text: Column) -> Column:
+    """Most BEGINs of a block that handles an exception with a rollback: one walk over the words that matter."""
+    start = F.struct(F.lit(0).alias("phase"), F.lit(0).alias("begins"), F.lit(0).alias("peak"))
+
+    def walk(state: Column, word: Column) -> Column:
+        phase, begins = state["phase"], state["begins"] + F.when(word == "BEGIN", 1).otherwise(0)
+        closed = (phase == 3) & (word == "END")
+        after = (
+            F.when((phase == 0) & (word == "BEGIN"), 1)
+            .when((phase == 1) & (word == "EXCEPTION"), 2)
+            .when((phase == 2) & (word == "ROLLBACK"), 3)
+            .when(closed, 0)
+            .otherwise(phase)
+        )
+        return F.struct(
+            after.alias("phase"),
+            F.when(closed, 0).otherwise(begins).alias("begins"),
+            F.when(closed, F.greatest(state["peak"], begins)).otherwise(state["peak"]).alias("peak"),
+        )
+
+    words = F.transform(T.all_matches(text, P.BLOCK_TOKEN), F.upper)
+    return F.aggregate(words, start, walk, lambda state: state["peak"]).cast("bigint")
+
+
 def transaction_nesting(text: Column) -> Column:
-    blocks = F.transform(T.all_matches(text, P.ROLLBACK_BLOCK), lambda b: F.regexp_count(b, F.lit(P.BEGIN_TEXT)))
-    in_blocks = F.coalesce(F.array_max(blocks), F.lit(0)).cast("bigint")
+    in_blocks = rollback_block_depth(text)
     pairs = savepoint_pairs(text)
     return F.greatest(F.lit(1), F.when(pairs > 0, pairs).otherwise(in_blocks)).cast("bigint")
 

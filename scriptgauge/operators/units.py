@@ -70,6 +70,23 @@ def chunk_rows(scripts: DataFrame) -> DataFrame:
     )
 
 
+def dropped_parts(scripts: DataFrame) -> DataFrame:
+    """What splitting leaves out of a script, with the reason: declarations, and text before the first header."""
+    base = header_chunks(scripts.filter(F.col("dialect").isin(P.ORACLE, P.GAUSS) & ~T.is_blank(F.col("src"))))
+    declared = F.transform(
+        F.filter("chunks", lambda part: ~part.rlike(P.UNIT_WITH_BODY)),
+        lambda part: F.struct(F.lit("declaration without a body").alias("reason"), part.alias("text")),
+    )
+    first = F.get(F.split("clean", P.UNIT_SPLIT), F.lit(0))
+    before = T.trimmed(F.regexp_replace(first, P.DANGLING_CREATE, ""))
+    outside = F.when(
+        F.col("package_name").isNull() & F.col("clean").rlike(P.UNIT_HEADER) & ~first.rlike(P.UNIT_START) & (F.length(before) > 0),
+        F.array(F.struct(F.lit("text before the first header").alias("reason"), before.alias("text"))),
+    ).otherwise(F.filter(declared, lambda part: F.lit(False)))
+    parts = base.select("script_id", "dialect", F.explode(F.concat(declared, outside)).alias("p"))
+    return parts.select("script_id", "dialect", "p.reason", F.length("p.text").cast("bigint").alias("chars"), F.md5("p.text").alias("text_hash"))
+
+
 def split_units(scripts: DataFrame) -> DataFrame:
     """One row per unit of every script with a known dialect.
 

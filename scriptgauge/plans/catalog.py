@@ -231,6 +231,11 @@ def units_with_body(spark, sf):
     return units.chunk_rows(corpus.scripts(spark, sf)).select("script_id", "pos", "unit_kind", "unit_name", "has_body")
 
 
+@query
+def dropped_parts(spark, sf):
+    return units.dropped_parts(corpus.scripts(spark, sf))
+
+
 @query
 def dedupe_units(spark, sf):
     """Names that a script defines more than once, and how many definitions it has."""

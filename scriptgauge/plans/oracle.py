@@ -144,6 +144,14 @@ FROM (
 )""",
     )
     marked = f"regexp_replace(clean, {lit('(?i)' + chr(92) + 'b((?:PROCEDURE|FUNCTION)' + chr(92) + 's+[' + chr(92) + 'w.]+' + chr(92) + 's*[(' + chr(92) + 's])')}, chr(1) || {lit(chr(92) + '1')}, 'g')"
+    cte(
+        "before_units" + tag,
+        ("clean" + tag,),
+        f"""
+SELECT script_id, dialect, {trim(f"regexp_replace(part, {rx(P.DANGLING_CREATE)}, '')")} AS part
+FROM (SELECT *, str_split({marked}, chr(1))[1] AS part FROM clean{tag})
+WHERE package_name IS NULL AND {has('clean', P.UNIT_HEADER)} AND NOT {has('part', P.UNIT_START)}""",
+    )
     cte(
         "chunks" + tag,
         ("clean" + tag,),
@@ -321,7 +329,7 @@ FROM (
     FROM (
       SELECT unit_id, dialect, list_transform({found}, lambda x: {trim('x')}) AS f,
              list_transform({every('source_code', P.BODY_CALL)}, lambda x: {trim('x')}) AS c0,
-             CASE WHEN dialect = 'Gauss' THEN list_transform({every('source_code', P.DYNAMIC_LITERAL, 1)}, lambda x: {trim('x')}) ELSE [] END AS d
+             CASE WHEN dialect = 'Gauss' THEN list_transform({every('source_code', P.DYNAMIC_LITERAL, 1)}, lambda x: {trim("replace(x, chr(39) || chr(39), chr(39))")}) ELSE [] END AS d
       FROM units{tag}
     )
   )
@@ -606,6 +614,14 @@ def _finals() -> dict[str, str]:
     add("hive_udf_units", f"SELECT script_id, unit_kind, unit_name, {size.format('source_code')} FROM units WHERE dialect = 'Hive'", "units")
     add("split_units", f"SELECT unit_id, unit_kind, qualified_name, pos, {text('source_code')} FROM units", "units")
     add("units_with_body", "SELECT script_id, pos, upper(kind) AS unit_kind, unit_name, has_body FROM chunks", "chunks")
+    add(
+        "dropped_parts",
+        """SELECT script_id, dialect, reason, length(t) AS chars, md5(t) AS text_hash FROM (
+             SELECT script_id, dialect, 'declaration without a body' AS reason, text AS t FROM chunks WHERE NOT has_body
+             UNION ALL SELECT script_id, dialect, 'text before the first header', part FROM before_units WHERE part <> '')
+           WHERE dialect IN ('Oracle', 'Gauss')""",
+        "chunks", "before_units",
+    )
     add(
         "dedupe_units",
         "SELECT script_id, lower(unit_name) AS key, count(*) AS definitions, min(pos) AS kept_pos FROM chunks WHERE has_body GROUP BY 1, 2 HAVING count(*) > 1",
@@ -776,7 +792,8 @@ def _finals() -> dict[str, str]:
     add(
         "list_coverage",
         f"""SELECT coalesce(u.name, l.name) AS name, coalesce(uses, 0) AS uses, CASE WHEN u.name IS NULL THEN 'unused' WHEN l.name IS NULL THEN 'unlisted' ELSE 'both' END AS state
-            FROM (SELECT name, count(*) AS uses FROM (SELECT unnest({segments('reads || writes || dynamic_refs')}) AS name FROM named) GROUP BY 1) u FULL JOIN l_tables l ON u.name = l.name""",
+            FROM (SELECT coalesce((SELECT min(name) FROM l_tables WHERE list_contains([used] || str_split(used, '.'), name)), used) AS name, sum(n) AS uses FROM (
+              SELECT used, count(*) AS n FROM (SELECT upper(unnest(list_distinct(reads || writes || dynamic_refs))) AS used FROM named) GROUP BY 1) GROUP BY 1) u FULL JOIN l_tables l ON u.name = l.name""",
         "named", "l_tables",
     )
     add(

@@ -56,9 +56,9 @@ def append(entries: DataFrame, path: str) -> None:
 
 
 def with_script(lines: DataFrame, scripts: DataFrame, folder: str) -> DataFrame:
-    """Entries with the stored script they point to; paths outside ``folder`` are refused.
+    """Entries with the stored script they point to; paths outside ``folder``, or that climb out of it, are refused.
 
     All columns of ``scripts`` but the path come along, so pass only what is needed.
     """
-    entries = migrate(lines).filter(F.col("filePath").startswith(folder))
+    entries = migrate(lines).filter(F.col("filePath").startswith(folder) & ~F.col("filePath").rlike(r"(^|[/\\])\.\.([/\\]|$)"))
     return entries.join(scripts.withColumnRenamed("path", "filePath"), "filePath")

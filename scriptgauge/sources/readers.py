@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,7 +17,7 @@ RECORD_END = "\x1e"
 SCRIPT_SCHEMA = "script_id string, path string, dialect string, schema_name string, ts timestamp, src string"
 # Charsets in the order they are tried; the last one accepts every byte
 CHARSETS = ("utf-8", "gbk", "iso-8859-1")
-MEMBER_SCHEMA = "archive string, member string, charset string, src string"
+MEMBER_SCHEMA = "archive string, member string, charset string, src string, error string"
 TEXT_SCHEMA = "script_id string, charset string, src string"
 
 
@@ -65,18 +66,28 @@ def decode_texts(files: DataFrame) -> DataFrame:
 
 
 def expand_archives(archives: DataFrame) -> DataFrame:
-    """(path, content) of ZIP files to one row per ``.sql`` member. Members never touch the disk."""
+    """(path, content) of ZIP files to one row per ``.sql`` member. Members never touch the disk.
+
+    An archive or a member that cannot be read is a row with its ``error`` and no text.
+    """
+
+    def members(path: str, content: bytes) -> Iterator[tuple]:
+        try:
+            with zipfile.ZipFile(io.BytesIO(bytes(content))) as archive:
+                for info in archive.infolist():
+                    if not info.is_dir() and info.filename.lower().endswith(".sql"):
+                        try:
+                            text, charset = decode(archive.read(info))
+                            yield path, info.filename, charset, text, None
+                        except (zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError) as error:
+                            yield path, info.filename, None, None, str(error)
+        except zipfile.BadZipFile as error:
+            yield path, None, None, None, str(error)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                with zipfile.ZipFile(io.BytesIO(bytes(content))) as archive:
-                    for info in archive.infolist():
-                        if not info.is_dir() and info.filename.lower().endswith(".sql"):
-                            text, charset = decode(archive.read(info))
-                            yield pd.DataFrame(
-                                {"archive": [path], "member": [info.filename], "charset": [charset], "src": [text]}
-                            )
+            rows = [row for path, content in zip(batch["path"], batch["content"]) for row in members(path, content)]
+            yield pd.DataFrame(rows, columns=["archive", "member", "charset", "src", "error"])
 
     return archives.select("path", "content").mapInPandas(run, MEMBER_SCHEMA)
 

@@ -124,3 +124,31 @@ def test_stream_equals_batch(spark, small):
     stream = catalog.QUERIES["stream_scripts"](spark, small)
     columns = ["unit_id", "dialect", "statement_count", "score"]
     assert sorted(map(tuple, stream.select(*columns).collect())) == sorted(map(tuple, batch.select(*columns).collect()))
+
+
+def test_bad_archives_and_members_are_rows_with_an_error(spark):
+    good = io.BytesIO()
+    with zipfile.ZipFile(good, "w") as archive:
+        archive.writestr("a.sql", "SELECT 1 FROM t")
+        archive.writestr("b.sql", "SELECT 2 FROM t")
+    broken = bytearray(good.getvalue())
+    broken[broken.index(b"SELECT 2")] ^= 1
+    frame = spark.createDataFrame([("x.zip", bytearray(b"no zip")), ("y.zip", broken)], "path string, content binary")
+    rows = {(r.archive, r.member): (r.src, r.error is not None) for r in readers.expand_archives(frame).collect()}
+    assert rows == {("x.zip", None): (None, True), ("y.zip", "a.sql"): ("SELECT 1 FROM t", False), ("y.zip", "b.sql"): (None, True)}
+
+
+def test_paths_that_climb_out_are_refused(spark):
+    import json
+
+    paths = ["in/a.sql", "in/../../etc/passwd", "in/..", "in/a..b.sql", "out/a.sql"]
+    lines = spark.createDataFrame([(i, None, json.dumps({"filePath": p})) for i, p in enumerate(paths)], "line_no long, ts timestamp, line string")
+    stored = spark.createDataFrame([(p,) for p in paths], "path string")
+    found = feedback.with_script(lines, stored, "in/")
+    assert sorted(r.filePath for r in found.collect()) == ["in/a..b.sql", "in/a.sql"]
+
+
+def test_quantiles_are_exact_above_a_million_scores(spark):
+    scores = spark.range(3_000_001).select(F.lit("Gauss").alias("dialect"), (F.col("id") / 1000).alias("score"))
+    row = corpus_ops.score_quantiles(scores).first()
+    assert (row.p25, row.p50, row.p75, row.p90) == (750.0, 1500.0, 2250.0, 2700.0)

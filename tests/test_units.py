@@ -3,7 +3,7 @@
 import pytest
 
 from scriptgauge.functions import patterns as P
-from scriptgauge.operators import features, names, packages, statements, unit_features, units
+from scriptgauge.operators import features, names, packages, statements, tables, unit_features, units
 from scriptgauge.plans.unit_scores import score_scripts
 
 SCHEMA = "script_id string, path string, dialect string, schema_name string, ts timestamp, src string"
@@ -224,3 +224,51 @@ def test_plan_never_shuffles_text(spark):
     plan = score_scripts(frame, features.weight_table(spark), empty, empty, empty)._jdf.queryExecution().optimizedPlan().toString()
     aggregate = next(line for line in plan.splitlines() if "Aggregate [unit_id" in line and "collect_list" in line)
     assert "source_code" not in aggregate and "src" not in aggregate
+
+
+HEADERS = [
+    "FUNCTION d RETURN NUMBER DETERMINISTIC IS BEGIN RETURN 1; END;",
+    "PROCEDURE a AUTHID CURRENT_USER IS BEGIN NULL; END;",
+    "FUNCTION p RETURN rows_t PIPELINED IS BEGIN RETURN; END;",
+    "FUNCTION r(x integer) RETURNS integer AS $$ BEGIN RETURN 1; END; $$",
+    "PROCEDURE b(x NUMBER DEFAULT f(g(1))) IS BEGIN NULL; END;",
+]
+
+
+def test_header_clauses_keep_their_units(spark):
+    for dialect in ("Oracle", "Gauss"):
+        found = units.split_units(scripts(spark, *[f"CREATE OR REPLACE {h}" for h in HEADERS], dialect=dialect)).collect()
+        assert sorted(u.unit_name for u in found) == ["a", "b", "d", "p", "r"]
+
+
+def test_dropped_parts_are_listed(spark):
+    texts = ["INSERT INTO before_it SELECT 1 FROM t;\nCREATE PROCEDURE p5 IS BEGIN NULL; END;", PACKAGE, "SELECT 1 FROM t"]
+    found = units.dropped_parts(scripts(spark, *texts, dialect="Oracle")).collect()
+    assert sorted((r.script_id, r.reason) for r in found) == [("s0", "text before the first header"), ("s1", "declaration without a body")]
+
+
+def test_doubled_quotes_in_dynamic_literals(spark):
+    text = "PROCEDURE p IS BEGIN EXECUTE IMMEDIATE 'UPDATE t2 SET a = ''x'' WHERE id = 1'; END;"
+    rows = statements.extract_statements(units.split_units(scripts(spark, text))).filter("origin = 'dynamic'").collect()
+    assert [r.sql for r in rows] == ["UPDATE t2 SET a = 'x' WHERE id = 1"]
+
+
+def test_long_texts_take_little_time(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    body = "BEGIN x := 1; EXCEPTION WHEN OTHERS THEN NULL; END; ROLLBACK;\n" * 16_000
+    names_ = ", ".join(f"t{i} AS a{i}" for i in range(10_000))
+    frame = spark.createDataFrame([(body, f"SELECT 1 FROM {names_} WHERE 1 = 1")], "unit string, stmt string")
+    start = time.monotonic()
+    row = frame.select(unit_features.rollback_block_depth(F.col("unit")).alias("depth"), F.size(tables.read_names(F.col("stmt"), F.lit("SELECT"))).alias("n")).first()
+    assert row.n == 10_000 and row.depth == 2 and time.monotonic() - start < 30
+
+
+def test_rollback_blocks_count_their_begins(spark):
+    from pyspark.sql import functions as F
+
+    cases = [("BEGIN a; EXCEPTION b; ROLLBACK; END", 1), ("BEGIN BEGIN x; END; EXCEPTION BEGIN ROLLBACK; END; END", 3), ("BEGIN x; END; ROLLBACK", 0), ("", 0)]
+    frame = spark.createDataFrame([(t, n) for t, n in cases], "t string, n int")
+    assert frame.filter(unit_features.rollback_block_depth(F.col("t")) != F.col("n")).count() == 0
