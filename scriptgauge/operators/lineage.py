@@ -14,13 +14,14 @@ WRITING_TYPES = ("INSERT", "MERGE", "CREATE")
 
 
 def lineage_edges(statements: DataFrame) -> DataFrame:
-    """(source, target, n) over INSERT, MERGE and CREATE TABLE AS."""
+    """(source, target, n) over INSERT, MERGE and CREATE TABLE AS; every target of a statement, and a table's own rows as its source."""
     created = F.lower(T.first_match(F.col("sql"), P.CREATE_TABLE))
-    target = F.when(F.col("parsed_type") == "CREATE", created).otherwise(F.get("writes", F.lit(0)))
+    target = F.when(F.col("parsed_type") == "CREATE", F.array(created)).otherwise(F.col("writes"))
     return (
         with_names(statements.filter(F.col("parsed_type").isin(*WRITING_TYPES)))
-        .select(target.alias("target"), F.explode("reads").alias("source"))
-        .filter("target IS NOT NULL AND source <> target")
+        .select("reads", F.explode(target).alias("target"))
+        .filter("target IS NOT NULL")
+        .select("target", F.explode("reads").alias("source"))
         .groupBy("source", "target")
         .agg(F.count("*").alias("n"))
     )

@@ -656,8 +656,9 @@ def _finals() -> dict[str, str]:
         "typed",
     )
     edges = f"""SELECT source, target, count(*) AS n FROM (
-        SELECT CASE WHEN parsed_type = 'CREATE' THEN lower({one('sql', P.CREATE_TABLE)}) ELSE writes[1] END AS target, unnest(reads) AS source
-        FROM named WHERE parsed_type IN ('INSERT', 'MERGE', 'CREATE')) WHERE target IS NOT NULL AND source <> target GROUP BY 1, 2"""
+        SELECT target, unnest(reads) AS source FROM (
+          SELECT reads, unnest(CASE WHEN parsed_type = 'CREATE' THEN [lower({one('sql', P.CREATE_TABLE)})] ELSE writes END) AS target
+          FROM named WHERE parsed_type IN ('INSERT', 'MERGE', 'CREATE'))) WHERE target IS NOT NULL GROUP BY 1, 2"""
     add("lineage_edges", edges, "named")
     add("lineage_depth", *_depth(f"SELECT DISTINCT target AS src, source AS dst FROM ({edges})", "table_name", "named"))
     add("ddl_targets", f"SELECT * FROM (SELECT stmt_id, dialect, parsed_type, {ddl} AS target FROM typed WHERE parsed_type IN {values(P.DDL_TARGET)}) WHERE target IS NOT NULL", "typed")

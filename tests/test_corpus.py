@@ -152,3 +152,9 @@ def test_quantiles_are_exact_above_a_million_scores(spark):
     scores = spark.range(3_000_001).select(F.lit("Gauss").alias("dialect"), (F.col("id") / 1000).alias("score"))
     row = corpus_ops.score_quantiles(scores).first()
     assert (row.p25, row.p50, row.p75, row.p90) == (750.0, 1500.0, 2250.0, 2700.0)
+
+
+def test_a_table_that_feeds_itself_is_recursive(spark):
+    edges = spark.createDataFrame([("a", "a"), ("b", "a"), ("c", "d")], "src string, dst string")
+    found = {r.node: (r.depth, r.is_recursive) for r in graph.chain_depth(edges).collect()}
+    assert found == {"a": (None, True), "b": (None, True), "c": (2, False), "d": (1, False)}
