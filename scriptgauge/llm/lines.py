@@ -17,6 +17,7 @@ and empty texts have no lines.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -64,30 +65,45 @@ def probes(length: int) -> tuple[tuple[int, int, int, int], ...]:
     return tuple(out)
 
 
-def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``(key, indexed, h)``: hashed segments of every line (indexed) and hashed substrings that it probes with."""
+def signatures(docs: DataFrame, indexed: bool, text: str = "text") -> DataFrame:
+    """``(key, h, n)`` of every line long enough for an edit: its hashed segments, or the substrings that it probes with.
+
+    ``h`` is the line's hash, ``n`` how often it stands in the texts that a task looked at together.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
         for batch in batches:
             for part in slices(batch, "text", 1_000_000):
-                lines = {x for t in part.column(0).to_pylist() if t for x in t.split("\n") if len(x) >= CHARS_PER_EDIT and VISIBLE.search(x)}
-                for chosen in (list(lines)[i : i + 2000] for i in range(0, len(lines), 2000)):
-                    keys, indexed, owner = [], [], []
+                counts = Counter(x for t in part.column(0).to_pylist() if t for x in t.split("\n") if len(x) >= CHARS_PER_EDIT)
+                found = [x for x in counts if VISIBLE.search(x)]
+                for chosen in (found[i : i + 2000] for i in range(0, len(found), 2000)):
+                    keys, sizes, hashes = [], [], []
                     for line in chosen:
                         raw = line.encode("utf-8", "surrogatepass")
-                        h = xxh64_intdigest(raw, 42)
-                        cut = (lambda a, n, raw=raw: raw[a : a + n]) if line.isascii() else (lambda a, n, line=line: line[a : a + n].encode("utf-8", "surrogatepass"))
-                        own = [xxh64_intdigest(cut(a, n), len(line) * 8 + i) for i, (a, n) in enumerate(segments(len(line)))]
-                        asked = [xxh64_intdigest(cut(a, n), size * 8 + i) for size, i, a, n in probes(len(line))]
-                        keys += own + asked
-                        indexed += [True] * len(own) + [False] * len(asked)
-                        owner += [h] * (len(own) + len(asked))
-                    signed = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (keys, owner)]
-                    yield pa.RecordBatch.from_arrays([signed[0], pa.array(indexed, pa.bool_()), signed[1]], names=["key", "indexed", "h"])
-
-    return docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "key long, indexed boolean, h long").distinct()
+                        hashes.append(xxh64_intdigest(raw, 42))
+                        cut = (lambda a, n, raw=raw: raw[a : a + n]) if len(raw) == len(line) else (lambda a, n, line=line: line[a : a + n].encode("utf-8", "surrogatepass"))
+                        if indexed:
+                            own = [xxh64_intdigest(cut(a, n), len(line) * 8 + i) for i, (a, n) in enumerate(segments(len(line)))]
+                        else:
+                            own = [xxh64_intdigest(cut(a, n), size * 8 + i) for size, i, a, n in probes(len(line))]
+                        keys += own
+                        sizes.append(len(own))
+                    signed = [np.array(x, dtype=np.uint64).view(np.int64) for x in (keys, hashes)]
+                    times = np.array([counts[x] for x in chosen])
+                    yield pa.RecordBatch.from_arrays([pa.array(signed[0]), pa.array(np.repeat(signed[1], sizes)), pa.array(np.repeat(times, sizes))], names=["key", "h", "n"])
+
+    return docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "key long, h long, n long")
+
+
+def pair_parity(lines: list[str]) -> np.ndarray:
+    """64 parities of each line's hashed character pairs; an edit takes and brings two pairs at most, so it turns four bits at most."""
+    sizes = np.array([len(x) + 1 for x in lines], dtype=np.int64)
+    flat = np.frombuffer("".join(x + "\n" for x in lines).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    mixed = (np.append(np.uint64(10), flat[:-1]) * np.uint64(0x9E3779B97F4A7C15) + flat) * np.uint64(0xC2B2AE3D27D4EB4F)
+    bits = np.uint64(1) << (mixed >> np.uint64(58))
+    return np.bitwise_xor.reduceat(bits, np.append(0, np.cumsum(sizes))[:-1]).view(np.int64) if len(lines) else np.zeros(0, np.int64)
 
 
 def within(left: list[str], right: list[str], edits: np.ndarray) -> np.ndarray:
@@ -151,15 +167,18 @@ def _place() -> Column:
     return F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "line_no", "mark")
 
 
-def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(a, b)``: keys of different lines within the threshold, each pair once."""
-    signed = signatures(docs, text)
-    owns, asks = signed.where("indexed"), signed.where("not indexed")
-    met = owns.select("key", F.col("h").alias("x")).join(asks.select("key", F.col("h").alias("y")), "key").where("x <> y")
-    pairs = settled(met.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct(), "line-pairs")
+def verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """``pairs(x, y)`` of line hashes: the links ``(a, b)`` between keys of lines within the threshold, and the lines ``(key, h, bits)``."""
     ids = settled(pairs.select(F.explode(F.array("x", "y")).alias("h")).distinct(), "line-ids")
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_LINES else ids
-    texts = settled(line_table(docs, doc_id, text).select("key", "h", "line").join(wanted, "h").dropDuplicates(["key"]), "line-texts")
+    found = line_table(docs, doc_id, text).select("key", "h", "line").join(wanted, "h").dropDuplicates(["key"]).select("key", "h", "line")
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "line"):
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pair_parity(part.column(2).to_pylist()))], names=["key", "h", "line", "bits"])
+
+    texts = settled(found.mapInArrow(mark, "key binary, h long, line string, bits long"), "line-texts")
     sides = [texts.select(F.col("h").alias(h), F.col("key").alias(k), F.col("line").alias(t)) for h, k, t in (("x", "a", "left"), ("y", "b", "right"))]
     both = pairs.join(sides[0], "x").join(sides[1], "y").select("a", "b", "left", "right").where("abs(length(left) - length(right)) <= " + str(MAX_EDITS))
 
@@ -171,24 +190,48 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
                 edits = np.array([edits_allowed(min(len(x), len(y))) for x, y in zip(left, right, strict=True)], dtype=np.int64)
                 yield pa.RecordBatch.from_arrays(part.columns[:2], names=["a", "b"]).filter(pa.array(within(left, right, edits)))
 
-    return settled(both.mapInArrow(verify, "a binary, b binary"), "line-links")
+    return settled(both.mapInArrow(verify, "a binary, b binary"), "line-links"), texts.select("key", "h", "bits")
+
+
+def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(a, b)``: keys of lines within the threshold, enough of them to connect every class.
+
+    Lines that share a signature meet its most frequent owner first. Only those that
+    this leaves in different classes meet each other, and of those only pairs whose
+    parities of character pairs allow so few edits: large groups of variants of one
+    line, and of lines that share only a part, cost no comparison per pair.
+    """
+    owners = signatures(docs, True, text).groupBy("key", "h").agg(F.sum("n").alias("n")).groupBy("key").agg(F.max(F.struct("n", "h"))["h"].alias("hub"), F.count("*").alias("owners"))
+    met = settled(signatures(docs, False, text).select("key", "h").join(owners, "key").where("owners > 1 or h <> hub").distinct(), "line-meetings")
+    first, lines = verified(settled(_unordered(met.where("h <> hub"), "h", "hub"), "line-pairs"), docs, doc_id, text)
+    roots = lines.join(connected_components(first), F.col("key") == F.col("node"), "left").groupBy("h").agg(F.min(F.coalesce("component", "key")).alias("root"), F.when(F.count("*") == 1, F.min("bits")).alias("bits"))
+    classed = met.where("owners > 1").select("key", "h").join(roots, "h", "left").select("key", "h", F.coalesce("root", F.unhex(F.hex("h"))).alias("root"), "bits")
+    classed = settled(classed, "line-classes")
+    sides = [classed.select("key", F.col("h").alias(x), F.col("root").alias(f"root_{x}"), F.col("bits").alias(f"bits_{x}")) for x in ("x", "y")]
+    few = f"coalesce(bit_count(bits_x ^ bits_y) <= {4 * MAX_EDITS}, true)"  # of lines whose hashes are not their own, nothing is known
+    others = sides[0].join(sides[1], "key").where(f"x < y and root_x <> root_y and {few}")
+    second, _ = verified(settled(_unordered(others, "x", "y"), "line-pairs"), docs, doc_id, text)
+    return first.unionAll(second)
+
+
+def _unordered(frame: DataFrame, x: str, y: str) -> DataFrame:
+    return frame.select(F.greatest(x, y).alias("x"), F.least(x, y).alias("y")).distinct()
 
 
 def line_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, mark, line_no, class_doc_id, class_line_no, n_links, kept)`` of every visible line.
+    """``(doc_id, mark, line_no, class_doc_id, class_line_no, kept)`` of every visible line.
 
-    The class is named by its first place; ``n_links`` counts the different lines within the threshold.
+    The class is named by its first place.
     """
     lines = line_table(docs, doc_id, text)
     nodes = settled(lines.groupBy("key").agg(F.min(_place()).alias("place")), "lines")
     near = links(docs, doc_id, text)
-    degree = near.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("n_links"))
     reach = connected_components(near).withColumnRenamed("node", "key")
-    roots = nodes.join(reach, "key", "left").join(degree, "key", "left").withColumn("root", F.coalesce("component", "key"))
+    roots = nodes.join(reach, "key", "left").withColumn("root", F.coalesce("component", "key"))
     first = roots.groupBy("root").agg(F.min("place").alias("first"))
-    told = roots.join(first, "root").select("key", "first", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    told = roots.join(first, "root").select("key", "first")
     out = lines.select("doc_id", "mark", "line_no", "key").join(told, "key")
-    return out.select("doc_id", "mark", "line_no", F.nullif(F.col("first.doc_id"), F.lit(LAST)).alias("class_doc_id"), F.col("first.line_no").alias("class_line_no"), "n_links", (_place() == F.col("first")).alias("kept"))
+    return out.select("doc_id", "mark", "line_no", F.nullif(F.col("first.doc_id"), F.lit(LAST)).alias("class_doc_id"), F.col("first.line_no").alias("class_line_no"), (_place() == F.col("first")).alias("kept"))
 
 
 def without_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -41,6 +41,15 @@ def test_banded_distance_is_exact():
         assert got.tolist() == [distance(a, b) <= k for a, b in pairs]
 
 
+def test_parities_turn_four_bits_an_edit():
+    rng = random.Random(3)
+    base = ["".join(rng.choice("abcdé ") for _ in range(rng.randrange(20, 90))) for _ in range(400)]
+    for edits in (1, 2):
+        near = [edited(x, edits, rng) for x in base]
+        turned = np.bitwise_count(lines.pair_parity(base).view(np.uint64) ^ lines.pair_parity(near).view(np.uint64))
+        assert turned.max() <= 4 * edits and len(lines.pair_parity([])) == 0
+
+
 def by_brute_force(docs):
     spots = sorted((lines.LAST if i is None else i, n, x) for i, t in docs for n, x in enumerate((t or "").split("\n")) if lines.VISIBLE.search(x))
     texts = sorted({x for *_, x in spots})
@@ -54,7 +63,7 @@ def by_brute_force(docs):
                     if y not in first:
                         first[y] = (i, n)
                         todo.append(y)
-    return {(i, n): (*first[x], len(near[x]), first[x] == (i, n)) for i, n, x in spots}
+    return {(i, n): (*first[x], first[x] == (i, n)) for i, n, x in spots}
 
 
 def corpus():
@@ -68,14 +77,14 @@ def test_classes_against_all_pairs(spark):
     docs = corpus()
     frame = spark.createDataFrame([(*d, "clash") for d in docs], "doc_id long, text string, key string")
     rows = lines.line_classes(frame).collect()
-    got = {(lines.LAST if r.doc_id is None else r.doc_id, r.line_no): (lines.LAST if r.class_doc_id is None else r.class_doc_id, r.class_line_no, r.n_links, r.kept) for r in rows}
+    got = {(lines.LAST if r.doc_id is None else r.doc_id, r.line_no): (lines.LAST if r.class_doc_id is None else r.class_doc_id, r.class_line_no, r.kept) for r in rows}
     expected = by_brute_force(docs)
     assert got == expected and len(rows) == len(expected)
-    assert sum(not v[3] for v in got.values()) > 25
+    assert sum(not v[2] for v in got.values()) > 25
     left = {r.doc_id: r.text for r in lines.without_repeated_lines(frame).collect()}
     for i, t in docs:
         at = lines.LAST if i is None else i
-        kept = [x for n, x in enumerate((t or "").split("\n")) if expected.get((at, n), (0, 0, 0, True))[3]]
+        kept = [x for n, x in enumerate((t or "").split("\n")) if expected.get((at, n), (0, 0, True))[2]]
         whole = len(kept) == len((t or "").split("\n"))
         assert left.get(i, "gone") == (t if whole else "\n".join(kept) if any(map(lines.VISIBLE.search, kept)) else "gone")
     assert lines.without_repeated_lines(frame).columns == frame.columns
@@ -96,5 +105,5 @@ def test_repeated_rows_and_empty_table(spark):
 
 def test_query_over_given_texts(spark, small):
     out = queries.op4_line_dedup(spark, small)
-    assert out.columns == ["doc_id", "line_no", "class_doc_id", "class_line_no", "n_links", "kept"]
+    assert out.columns == ["doc_id", "line_no", "class_doc_id", "class_line_no", "kept"]
     assert out.where("kept != (doc_id = class_doc_id and line_no = class_line_no)").count() == 0 and out.where("not kept").count() > 0
