@@ -34,12 +34,13 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates, that with the smallest id (of equal ids, one)."""
+    """Keeps one document of each group of near duplicates, that with the smallest id (null ids last; of equal ids, one)."""
     keyed = docs.withColumn("__mark", F.xxhash64("text"))
     marked = settled(simhash.fingerprints(keyed, keep=("doc_id", "__mark"), into="fp"), "fingerprints")
     groups = simhash.near_duplicates(marked)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("__mark").alias("__first"))
-    kept = keyed.join(first, F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("__mark") == F.col("__first")), "left_semi")
+    chosen = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__mark")).alias("first"))
+    first = chosen.select(F.col("first.doc_id").alias("__id"), F.col("first.__mark").alias("__first"))
+    kept = keyed.join(first, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__first")), "left_semi")
     return kept.dropDuplicates(["doc_id", "__mark"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -90,9 +90,12 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
 
 
 def near_duplicates(marked: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """``marked`` with an id and ``fp`` to the same rows and ``component_id``, the smallest id reachable by links."""
+    """``marked`` with an id and ``fp`` to the same rows, ``component_id``, the smallest id reachable by links, and ``root``.
+
+    The root is a fingerprint and tells components apart; their ids may be null or the same.
+    """
     nodes = marked.groupBy("fp").agg(F.min(doc_id).alias("first_id"))
     reach = connected_components(fingerprint_links(nodes.select("fp")))
     roots = nodes.join(reach, nodes.fp == reach.node, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("root"))
     names = roots.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return marked.join(roots.join(names, "root").select("fp", "component_id"), "fp")
+    return marked.join(roots.join(names, "root").select("fp", "component_id", "root"), "fp")

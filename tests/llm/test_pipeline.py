@@ -81,3 +81,11 @@ def test_odd_documents_pass_through(spark, small, steps):
             columns, given = given.columns, settled(stage(spark, given, small), name)
             assert name == "pieces" or given.columns == columns
     assert given.count() == 0
+
+
+def test_groups_without_an_id_of_their_own_keep_a_document(spark, small):
+    texts = ["the cat sat on the mat and the dog", "one ship sailed far over the cold sea", "rain fell on the green hills all day", "he paid for bread and went home late", "she reads long books about old kings"]
+    given = [(None, texts[0]), (None, texts[0]), (None, texts[1]), (None, texts[2]), (3, texts[3]), (3, texts[4]), (None, texts[4]), (4, texts[3])]
+    docs = spark.createDataFrame(given, "doc_id long, text string")
+    left = pipeline.drop_near_duplicates(spark, docs, small).collect()
+    assert sorted(map(tuple, left), key=str) == sorted([(None, texts[0]), (None, texts[1]), (None, texts[2]), (3, texts[3]), (3, texts[4])], key=str)
