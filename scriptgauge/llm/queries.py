@@ -26,7 +26,7 @@ def op2_vector_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_sketch_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
-    found = sketches.compare_with_edit(table(spark, folder, "documents"))
+    found = sketches.compare_with_edit(table(spark, folder, "documents"), every_end=True)
     return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
