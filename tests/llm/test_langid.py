@@ -57,3 +57,10 @@ def test_odd_rows(spark):
     none = langid.fit(docs.limit(0), ["a"])
     assert {(r.lang_pred, r.score) for r in langid.predict(frame, none).collect()} == {("und", 0.0)}
     assert langid.predict(frame.limit(0), model).collect() == []
+
+
+def test_learning_takes_three_passes(spark):
+    docs = spark.createDataFrame([("abc ab abc bc", "x"), ("ab ab a b c", "y")], "text string, lang string")
+    given = langid.fit(docs, PIECES).chance
+    assert np.array_equal(given, langid.fit(docs, PIECES, passes=3).chance)
+    assert not np.allclose(given, langid.fit(docs, PIECES, passes=2).chance, rtol=1e-6)
