@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptgauge.llm import bitmix, langid, lines, mixing, pieces, simhash, sketches, token_counts, vectors, warc
+from scriptgauge.llm import bitmix, byte_bpe, langid, lines, mixing, pieces, resample, runs, simhash, sketches, token_counts, vectors, warc
 from scriptgauge.llm.common import settled, table
 from scriptgauge.llm.sql import SQL  # noqa: F401
 
 PIECES = "piece_bpe_32k.model"
+RANKS = "byte_bpe_multi_50k.tiktoken"
 TOKEN_LIMIT = 4096
 
 
@@ -70,6 +71,24 @@ def op10_bit_mixing_scores(spark: SparkSession, folder: str) -> DataFrame:
     return told.select("doc_id", (remainder == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_byte_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    ranks = public_tokenizers.path(RANKS)
+    encoded = byte_bpe.encode(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN, keep=("doc_id",))
+    told = byte_bpe.decode(encoded, ranks)
+    joined = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return told.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    found = resample.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return runs.run_summary(runs.text_runs(docs, plant=True))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_round_trip": op1_warc_round_trip,
     "op2_vector_near_duplicates": op2_vector_near_duplicates,
@@ -81,4 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_simhash_near_duplicates": op9_simhash_near_duplicates,
     "op10_bit_mixing_scores": op10_bit_mixing_scores,
+    "op11_byte_bpe_round_trip": op11_byte_bpe_round_trip,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_periodic_runs": op13_periodic_runs,
 }
