@@ -37,11 +37,13 @@ from scriptgauge.llm.common import slices
 
 NONE = np.int32(2**31 - 1)
 #: Code points of text, and pre-tokens not met before, that a task holds before it replays the merges.
-SHARE_CHARS, SHARE_WORDS = 24_000_000, 300_000
+SHARE_CHARS, SHARE_WORDS = 8_000_000, 100_000
 #: Distinct pre-tokens that a task remembers from one share to the next.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
+#: Bytes of text that are cut at once.
+CUT_BYTES = 1_000_000
 #: Ids that are decoded at once.
-DECODE_IDS = 4_000_000
+DECODE_IDS = 1_000_000
 
 
 @dataclass
@@ -179,7 +181,7 @@ class Encoder:
         words, known = self.cut(text or ""), self.known
         for w in set(words).difference(known):
             known[w] = len(known)
-        return np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
+        return np.fromiter(map(known.__getitem__, words), dtype=np.int32, count=len(words))
 
     @property
     def waiting(self) -> int:
@@ -192,7 +194,7 @@ class Encoder:
             flat, sizes = replay(self.ranks, [w.encode("utf-8") for w in new])
             told = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(flat, pa.int32()))
             self.lists = pa.concat_arrays([self.lists, told])
-        words = np.concatenate([*texts, np.zeros(0, np.int64)])
+        words = np.concatenate([*texts, np.zeros(0, np.int32)])
         counts = np.diff(self.lists.offsets.to_numpy())[words] if len(words) else np.zeros(0, np.int64)
         ends = np.append(0, np.cumsum(counts))[np.append(0, np.cumsum([len(t) for t in texts], dtype=np.int64))]
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), self.lists.take(pa.array(words)).flatten())
@@ -222,7 +224,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", into: s
             encoder.forget()
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", CUT_BYTES):
                 texts = part.column(part.num_columns - 1).to_pylist()
                 rows += map(encoder.numbers, texts)
                 chars += sum(len(t) for t in texts if t)
