@@ -23,6 +23,30 @@ LINE_BREAK = r"\r?\n"
 TRAILING_BREAKS = r"(\r?\n)+\z"
 STATEMENT_END = r"(?m);\s*$"
 
+# --- quoted text and brackets ----------------------------------------------
+# a quoted character stands in a private plane, a bracket that was taken out between two marks
+NAME_CHAR = r"[\w.\x{F0000}-\x{F007F}]"
+STAND_IN = r"[\x{F0000}-\x{F007F}]"
+ANY_QUOTE = r"['\"`]|\$\$"
+NAME_QUOTES = r"[\"`]"
+_Q_QUOTES = r"[qQ]'\[[\s\S]*?\]'|[qQ]'\{[\s\S]*?\}'|[qQ]'\([\s\S]*?\)'|[qQ]'<[\s\S]*?>'|[qQ]'![\s\S]*?!'"
+_QUOTES = _Q_QUOTES + r"|'(?:[^']++|'')*+'|\"[^\"\n]++\"|`[^`\n]++`"
+_UNQUOTED = r"|(?:[^'\"`$qQ]|[qQ][^'\"`$])++|[\s\S]"
+QUOTED_OR_PLAIN = _QUOTES + _UNQUOTED
+QUOTED_OR_PLAIN_DOLLAR = _QUOTES + r"|\$\$[\s\S]*?\$\$" + _UNQUOTED
+Q_QUOTE_START = r"^[qQ]'"
+DOLLAR_BODY = r"(?i)\b(?:AS|IS|DO)\s*\$\$"
+INNERMOST = r"\(([^()]*+)\)"
+BRACKET = r"[()]"
+MARK = r"\x{F0100}"
+CHILD = MARK + r"(\d+)"
+WHOLE_MARK = MARK + r"\d+\x{F0101}"
+FIRST_BRACKET = r"^\s*" + CHILD
+VISIBLE = r"\S"
+HAS_DEFAULT = r"(?i)\bDEFAULT\b|:="
+CALL_TOKEN = NAME_CHAR + r"++\s*+\(\s*+\)|" + NAME_CHAR + r"++\s*+\(|\(\s*+\)|[(),;]"
+CALL_TOKEN_NAME = "^" + NAME_CHAR + "+"
+
 # --- statements inside a body ----------------------------------------------
 BASE_VERBS = "SELECT|INSERT|UPDATE|DELETE|MERGE|COMMIT|ROLLBACK|CREATE|ALTER|DROP|TRUNCATE|GRANT|REVOKE"
 HIVE_VERBS = "LOAD|EXPORT|IMPORT|MSCK|ANALYZE|EXPLAIN|SHOW|DESCRIBE|DESC|USE|SET|RESET|ADD"
@@ -32,27 +56,27 @@ BODY_STATEMENT = {
     GAUSS: _BODY.format(verbs=BASE_VERBS + "|WITH"),
     HIVE: _BODY.format(verbs=BASE_VERBS + "|" + HIVE_VERBS),
 }
-_ARGUMENTS = r"\((?:[^()]++|\([^()]*+\))*+\)"
-BODY_CALL = r"\b([\w.]++)\s*+" + _ARGUMENTS + r"\s*;"
-ANY_CALL = r"\b([\w.]++)\s*+" + _ARGUMENTS
-DYNAMIC_LITERAL = r"(?i)\bEXECUTE\s+IMMEDIATE\s+'((?:[^']++|'')++)'"
+# a call is a statement of its own: nothing but a block word stands before it
+FLAT_CALL = r"(?i)(?:^|\b(?:BEGIN|THEN|ELSE|LOOP|DO|CALL|PERFORM)\b)\s*(" + NAME_CHAR + r"+\s*" + MARK + r"\d+\x{F0101})\s*$"
+DYNAMIC_LITERAL = r"(?i)\bEXECUTE\s+IMMEDIATE\s+(q?'[^']+')"
 
 # --- packages and units ----------------------------------------------------
 PACKAGE_BODY = r"(?i)\bCREATE\s+(?:OR\s+REPLACE\s+)?PACKAGE\s+BODY\b"
-PACKAGE_BODY_NAME = r"(?i)\bCREATE\s+(?:OR\s+REPLACE\s+)?PACKAGE\s+BODY\s+([\w.]+)"
+PACKAGE_BODY_NAME = r"(?i)\bCREATE\s+(?:OR\s+REPLACE\s+)?PACKAGE\s+BODY\s+(" + NAME_CHAR + r"+)"
 PACKAGE_ANY = r"(?i)\bCREATE\s+(?:OR\s+REPLACE\s+)?PACKAGE\b"
 PACKAGE_END_NAME = r"(?i)\bEND\s+(PKG_\w+|\w+_PKG)\b"
-PROCEDURE_HEADER = r"(?i)\bPROCEDURE\s+[\w.]+\s*[(\s]"
-FUNCTION_HEADER = r"(?i)\bFUNCTION\s+[\w.]+\s*[(\s]"
-UNIT_HEADER = r"(?i)\b(?:PROCEDURE|FUNCTION)\s+[\w.]+\s*[(\s]"
-UNIT_SPLIT = r"(?i)(?=\b(?:PROCEDURE|FUNCTION)\s+[\w.]+\s*[(\s])"
-UNIT_START = r"(?i)^(PROCEDURE|FUNCTION)\s+([\w.]+)"
+PROCEDURE_HEADER = r"(?i)\bPROCEDURE\s+" + NAME_CHAR + r"+\s*[(\s]"
+FUNCTION_HEADER = r"(?i)\bFUNCTION\s+" + NAME_CHAR + r"+\s*[(\s]"
+UNIT_HEADER = r"(?i)\b(?:PROCEDURE|FUNCTION)\s+" + NAME_CHAR + r"+\s*[(\s]"
+UNIT_SPLIT = r"(?i)(?=\b(?:PROCEDURE|FUNCTION)\s+" + NAME_CHAR + r"+\s*[(\s])"
+UNIT_HEADER_TEXT = r"(?i)^(?:PROCEDURE|FUNCTION)\s+" + NAME_CHAR + r"+([^;]*?)\b(?:IS|AS|LANGUAGE)\b"
+UNIT_START = r"(?i)^(PROCEDURE|FUNCTION)\s+(" + NAME_CHAR + r"+)"
 # a declaration ends before any of these words, whatever clauses its header has
 UNIT_WITH_BODY = r"(?i)^(?:PROCEDURE|FUNCTION)\s+[^;]*?\b(?:IS|AS|LANGUAGE)\b"
 DANGLING_CREATE = r"(?i)\bCREATE(?:\s+OR\s+REPLACE)?\s*\z"
-CLOSING_END = r"(?i)\bEND(?:\s+[\w.]+)?\s*;[\s/]*\z"
-HIVE_UDF = r"(?i)\bCREATE\s+(?:TEMPORARY\s+)?FUNCTION\s+[\w.]+\s+AS\s+[\s\S]*?;"
-HIVE_UDF_NAME = r"(?i)\bFUNCTION\s+([\w.]+)\s+AS\b"
+CLOSING_END = r"(?i)\bEND(?:\s+" + NAME_CHAR + r"+)?\s*;[\s/]*\z"
+HIVE_UDF = r"(?i)\bCREATE\s+(?:TEMPORARY\s+)?FUNCTION\s+" + NAME_CHAR + r"+\s+AS\s+[\s\S]*?;"
+HIVE_UDF_NAME = r"(?i)\bFUNCTION\s+(" + NAME_CHAR + r"+)\s+AS\b"
 SQL_SUFFIX = r"(?i)\.sql$"
 
 # --- statement classification ----------------------------------------------
@@ -72,30 +96,45 @@ HAS_SET = r"(?i)\bSET\s"
 HAS_INTO_TABLE = r"(?i)\bINTO\s+TABLE\b"
 
 # --- table names -----------------------------------------------------------
-DELETE_FROM = r"(?i)\bDELETE\s+FROM\b"
-FROM_LIST = r"(?i)\bFROM\s+([\w.]++(?:\s+(?:AS\s+)?\w+)?(?:\s*+,\s*+[\w.]++(?:\s+(?:AS\s+)?\w+)?)*+)"
-LEADING_NAME = r"^[\w.]+"
-JOIN_NAME = r"(?i)\bJOIN\s+([\w.]+)"
-MERGE_SOURCE = r"(?i)\bUSING\s+([\w.]+)"
-INSERT_TARGET = r"(?i)\b(?:INSERT\s+INTO|INSERT\s+OVERWRITE|OVERWRITE\s+INTO|MERGE\s+INTO)\s+(?:TABLE\s+)?([\w.]+)"
-UPDATE_TARGET = r"(?i)\bUPDATE\s+([\w.]+)(?:\s+\w+)?\s+SET\b"
-DELETE_TARGET = r"(?i)\bDELETE\s+(?:FROM\s+)?([\w.]+)"
-NOT_A_TABLE = ("set", "where", "from", "of", "table", "select")
-CTE_MARK = r"(?i)\bWITH\s+\w"
-CTE_NAME = r"(?i)\b(\w+)\s+AS\s*\("
-CREATE_TABLE = r"(?i)\bCREATE\s+(?:EXTERNAL\s+)?TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?([\w.]+)"
+# on the flat parts of a statement: brackets are numbers between marks
+NAME_OR_CALL = "(" + NAME_CHAR + r"+\s*" + MARK + "?)"
+NO_SOURCE = r"(?i)\b(?:DELETE|DISTINCT)\s+FROM\b"
+NO_TABLE_TARGET = r"(?i)\bOVERWRITE\s+(?:LOCAL\s+)?DIRECTORY\b"
+FROM_CLAUSE = (
+    r"(?i)\bFROM\s+([\s\S]*?)(?:\b(?:WHERE|GROUP|ORDER|HAVING|UNION|INTERSECT|MINUS|EXCEPT|CONNECT\s+BY|START\s+WITH|LIMIT|FETCH"
+    r"|FOR\s+UPDATE|WINDOW|LATERAL\s+VIEW|SELECT|INSERT|SET|CLUSTER\s+BY|DISTRIBUTE\s+BY|SORT\s+BY|RETURNING|LOOP)\b|;|\z)"
+)
+FROM_ITEM_END = r"(?i),|\bJOIN\b"
+FROM_ITEM = r"(?i)^\s*(?:(?:ONLY|LATERAL)\s+)?" + NAME_OR_CALL
+JOIN_ITEM = r"(?i)\bJOIN\s+(?:(?:ONLY|LATERAL)\s+)?" + NAME_OR_CALL
+USING_ITEM = r"(?i)\bUSING\s+" + NAME_OR_CALL
+IS_CALL = MARK + "$"
+QUERY_PART = r"(?i)\bSELECT\b|^\s*FROM\b"
+DML_PART = r"(?i)^\s*(?:INSERT|UPDATE|DELETE|MERGE|WITH)\b"
+FIRST_DML = r"(?i)\b(SELECT|INSERT|UPDATE|DELETE|MERGE)\b"
+MULTI_INSERT = r"(?i)\b(INSERT)\b"
+MERGE_SOURCE = r"(?i)\bUSING\s+(" + NAME_CHAR + "+)"
+INSERT_TARGET = r"(?i)\b(?:INSERT\s+INTO|INSERT\s+OVERWRITE|OVERWRITE\s+INTO|MERGE\s+INTO)\s+(?:TABLE\s+)?(" + NAME_CHAR + "+)"
+INSERT_ALL = r"(?i)^\s*INSERT\s+(?:ALL|FIRST)\b"
+INTO_TARGET = r"(?i)\bINTO\s+(" + NAME_CHAR + "+)"
+UPDATE_TARGET = r"(?i)\bUPDATE\s+(?:ONLY\s+)?(" + NAME_CHAR + r"+)(?:\s+(?:AS\s+)?\w+)?\s+SET\b"
+DELETE_TARGET = r"(?i)\bDELETE\s+(?:FROM\s+)?(?:ONLY\s+)?(" + NAME_CHAR + "+)"
+NOT_A_TABLE = ("set", "where", "from", "of", "table", "select", "only", "lateral", "values")
+CTE_MARK = r"(?i)\bWITH\s+\S"
+CTE_NAME = r"(?i)(" + NAME_CHAR + r"+)\s*(?:" + MARK + r"\d+\x{F0101}\s*)?\bAS\s*(?:NOT\s+)?(?:MATERIALIZED\s*)?" + MARK
+CREATE_TABLE = r"(?i)\bCREATE\s+(?:EXTERNAL\s+)?TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?(" + NAME_CHAR + "+)"
 DDL_TARGET = {
     "CREATE": CREATE_TABLE,
-    "LOAD": r"(?i)\bINTO\s+TABLE\s+([\w.]+)",
-    "EXPORT": r"(?i)\bTABLE\s+([\w.]+)",
-    "IMPORT": r"(?i)\bTABLE\s+([\w.]+)",
-    "MSCK": r"(?i)\bREPAIR\s+TABLE\s+([\w.]+)",
-    "ANALYZE": r"(?i)\bTABLE\s+([\w.]+)",
-    "ALTER": r"(?i)\bALTER\s+TABLE\s+([\w.]+)",
-    "DROP": r"(?i)\bDROP\s+TABLE\s+(?:IF\s+EXISTS\s+)?([\w.]+)",
-    "TRUNCATE": r"(?i)\bTRUNCATE\s+TABLE\s+([\w.]+)",
-    "DESCRIBE": r"(?i)\bDESCRIBE\s+([\w.]+)",
-    "DESC": r"(?i)\bDESC\s+([\w.]+)",
+    "LOAD": r"(?i)\bINTO\s+TABLE\s+(" + NAME_CHAR + "+)",
+    "EXPORT": r"(?i)\bTABLE\s+(" + NAME_CHAR + "+)",
+    "IMPORT": r"(?i)\bTABLE\s+(" + NAME_CHAR + "+)",
+    "MSCK": r"(?i)\bREPAIR\s+TABLE\s+(" + NAME_CHAR + "+)",
+    "ANALYZE": r"(?i)\bTABLE\s+(" + NAME_CHAR + "+)",
+    "ALTER": r"(?i)\bALTER\s+TABLE\s+(" + NAME_CHAR + "+)",
+    "DROP": r"(?i)\bDROP\s+TABLE\s+(?:IF\s+EXISTS\s+)?(" + NAME_CHAR + "+)",
+    "TRUNCATE": r"(?i)\bTRUNCATE\s+TABLE\s+(" + NAME_CHAR + "+)",
+    "DESCRIBE": r"(?i)\bDESCRIBE\s+(" + NAME_CHAR + "+)",
+    "DESC": r"(?i)\bDESC\s+(" + NAME_CHAR + "+)",
 }
 DYNAMIC_FROM = r"(?i) FROM \s*(\S+)"
 DYNAMIC_JOIN = r"(?i) JOIN \s*(\S+)"
@@ -158,8 +197,8 @@ JAVA_UNIT = r"(?i)\bLANGUAGE\s+JAVA\b"
 JAVA_TYPE = r"(?i)\b(oracle\.sql|java\.lang)\.[A-Za-z]+\b"
 
 # --- names used in calls ---------------------------------------------------
-CALLED_NAME = r"\b([\w.]++)\s*+\("
-INTO_NAME = r"(?i)\bINTO\s+[\w.]+"
+CALLED_NAME = r"(" + NAME_CHAR + r"++)\s*+\("
+INTO_NAME = r"(?i)\bINTO\s+" + NAME_CHAR + "+"
 VALID_NAME = r"^[A-Z][A-Z0-9_]*+(?:\.[A-Z][A-Z0-9_]*+)*+$"
 HIVE_CALL = r"(?i)\bCALL\s+([\w.]+)"
 

@@ -9,7 +9,7 @@ from ..functions import patterns as P
 from ..functions import text as T
 from ..functions import weights as W
 from .statements import fail_reason, kept_type, type_of
-from .tables import name_columns, table_count, table_list, with_names
+from .tables import name_columns, named_parts, table_count, table_list, with_names
 
 COMMON = [
     "table", "join", "where_condition", "subquery", "aggregate_function", "case_expression",
@@ -130,10 +130,11 @@ def measured(statements: Column, dialect: Column, weights: Column) -> Column:
         typed,
         lambda s: {
             "fail_reason": fail_reason(s["sql"], s["parsed_type"], dialect),
-            **name_columns(s["sql"], s["parsed_type"], s["upper_sql"]),
+            "parts": named_parts(s["sql"], s["parsed_type"], s["upper_sql"]),
         },
     )
-    kept = extend(checked, lambda s: {"type": kept_type(s["parsed_type"], s["fail_reason"])})
+    named = extend(checked, lambda s: name_columns(s["sql"], s["parsed_type"], s["parts"]))
+    kept = extend(named, lambda s: {"type": kept_type(s["parsed_type"], s["fail_reason"])})
     listed = extend(
         kept,
         lambda s: {

@@ -6,16 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions import text as T
 from .graph import chain_depth
-from .tables import with_names
+from .tables import ddl_target, with_names
 
 WRITING_TYPES = ("INSERT", "MERGE", "CREATE")
 
 
 def lineage_edges(statements: DataFrame) -> DataFrame:
     """(source, target, n) over INSERT, MERGE and CREATE TABLE AS; every target of a statement, and a table's own rows as its source."""
-    created = F.lower(T.first_match(F.col("sql"), P.CREATE_TABLE))
+    created = ddl_target(F.col("sql"), F.lit("CREATE"))
     target = F.when(F.col("parsed_type") == "CREATE", F.array(created)).otherwise(F.col("writes"))
     return (
         with_names(statements.filter(F.col("parsed_type").isin(*WRITING_TYPES)))

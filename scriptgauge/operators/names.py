@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import lexing as L
 from ..functions import patterns as P
 from ..functions import text as T
 from ..functions.names import BUILTINS
@@ -36,30 +37,48 @@ def name_flags(functions: DataFrame, tables: DataFrame, procedures: DataFrame) -
 
 def called_suffixes(source: Column) -> Column:
     """Upper-case dotted suffixes of every name in front of a parenthesis, once per call site."""
-    called = T.all_matches(F.upper(source), P.CALLED_NAME, 1)
-    return F.flatten(F.transform(called, T.suffixes))
+    called = T.all_matches(L.shield(source), P.CALLED_NAME, 1)
+    return F.flatten(F.transform(called, lambda name: T.suffixes(F.upper(L.plain_name(name)))))
 
 
-def called_names(source: Column, dialect: Column, unit_name: Column) -> Column:
-    """Upper-case names of called procedures, one entry per call, without built-ins and self calls."""
-    text = F.regexp_replace(F.upper(source), P.INTO_NAME, ";")
+def call_sites(source: Column, dialect: Column, unit_name: Column) -> Column:
+    """Calls of procedures as structs (name, args, depth) with upper-case names, without built-ins and self calls.
+
+    A call counts wherever it stands, also among another call's arguments. Hive
+    knows only CALL, whose arguments are not looked at.
+    """
 
-    def without_builtins(names: Column, builtins: list[str]) -> Column:
+    def without_builtins(found: Column, builtins: list[str]) -> Column:
         builtin = f"^(?:{'|'.join(builtins)})(?:[.]|$)"
-        return F.filter(names, lambda name: name.rlike(P.VALID_NAME) & ~name.rlike(builtin))
-
-    called = T.all_matches(text, P.ANY_CALL, 1)
-    found = T.by_dialect(
-        dialect,
-        {
-            P.ORACLE: without_builtins(called, BUILTINS[P.ORACLE]),
-            P.GAUSS: without_builtins(called, BUILTINS[P.GAUSS]),
-            P.HIVE: T.all_matches(F.upper(source), P.HIVE_CALL, 1),
-        },
-    )
-    others = F.filter(found, lambda name: T.last_segment(name) != F.upper(unit_name))
+        return F.filter(found, lambda call: call["name"].rlike(P.VALID_NAME) & ~call["name"].rlike(builtin))
+
+    def of(safe: Column) -> Column:
+        walked = F.transform(
+            L.calls(F.regexp_replace(safe, P.INTO_NAME, " ")), lambda call: call.withField("name", F.upper(L.plain_name(call["name"])))
+        )
+        unknown = F.lit(None).cast("bigint")
+        stated = F.transform(
+            T.all_matches(F.upper(safe), P.HIVE_CALL, 1), lambda name: F.struct(name.alias("name"), unknown.alias("args"), unknown.alias("depth"))
+        )
+        return T.by_dialect(
+            dialect,
+            {P.ORACLE: without_builtins(walked, BUILTINS[P.ORACLE]), P.GAUSS: without_builtins(walked, BUILTINS[P.GAUSS]), P.HIVE: stated},
+        )
+
+    found = T.bind(L.shield(source), of)
+    return F.filter(found, lambda call: T.last_segment(call["name"]) != F.upper(unit_name))
+
+
+def called(source: Column, dialect: Column, unit_name: Column) -> Column:
+    """Calls as structs (name, args), and one of unknown arguments per EXECUTE IMMEDIATE."""
     dynamic = F.when(dialect == P.HIVE, 0).otherwise(F.regexp_count(source, F.lit(P.EXECUTE_IMMEDIATE)))
-    return F.concat(others, F.array_repeat(F.lit(EXECUTE_IMMEDIATE), dynamic))
+    others = F.transform(call_sites(source, dialect, unit_name), lambda call: F.struct(call["name"].alias("name"), call["args"].alias("args")))
+    return F.concat(others, F.array_repeat(F.struct(F.lit(EXECUTE_IMMEDIATE).alias("name"), F.lit(None).cast("bigint").alias("args")), dynamic))
+
+
+def called_names(source: Column, dialect: Column, unit_name: Column) -> Column:
+    """Upper-case names of called procedures, one entry per call."""
+    return F.transform(called(source, dialect, unit_name), lambda call: call["name"])
 
 
 def table_segments(names: Column) -> Column:
@@ -80,26 +99,30 @@ def high_weight_tables(statements: DataFrame, tables: DataFrame) -> DataFrame:
     return used.join(clean_list(tables), "name").groupBy("unit_id", "name").agg(F.count("*").alias("n"))
 
 
-def nested_calls(units: DataFrame, functions: DataFrame, keys: tuple[str, ...] = ("unit_id",)) -> DataFrame:
-    """(unit, callee, n) without custom functions; Hive counts every CALL.
+def nested_calls(units: DataFrame, functions: DataFrame, keys: tuple[str, ...] = ("unit_id",), by_args: bool = False) -> DataFrame:
+    """(unit, callee, n) without custom functions; Hive counts every CALL. ``by_args`` parts the calls by their number of arguments.
 
     The calls of a unit sit in one row, so the count is complete before the
     shuffle and the join with the list sees each callee once per unit.
     """
-    called = units.select(
-        *keys,
-        "dialect",
-        F.explode(called_names(F.col("source_code"), F.col("dialect"), F.col("unit_name"))).alias("callee"),
-    )
+    what = ("callee", "args") if by_args else ("callee",)
+    found = units.select(*keys, "dialect", F.explode(called(F.col("source_code"), F.col("dialect"), F.col("unit_name"))).alias("call"))
     listed = clean_list(functions).select(F.col("name").alias("callee"), F.lit(True).alias("listed"))
     return (
-        called.groupBy(*keys, "dialect", "callee")
+        found.select(*keys, "dialect", F.col("call.name").alias("callee"), F.col("call.args").alias("args"))
+        .groupBy(*keys, "dialect", *what)
         .agg(F.count("*").alias("n"))
         .join(listed, "callee", "left")
         .filter((F.col("dialect") == P.HIVE) | F.col("listed").isNull())
-        .select(*keys, "callee", "n")
+        .select(*keys, *what, "n")
     )
 
 
+def call_table(units: DataFrame) -> DataFrame:
+    """(unit_id, callee, args, depth, n): every call with its number of arguments and how many brackets stand around it."""
+    found = units.select("unit_id", F.explode(call_sites(F.col("source_code"), F.col("dialect"), F.col("unit_name"))).alias("call"))
+    return found.groupBy("unit_id", F.col("call.name").alias("callee"), F.col("call.args").alias("args"), F.col("call.depth").alias("depth")).agg(F.count("*").alias("n"))
+
+
 def high_weight_procedures(calls: DataFrame, procedures: DataFrame) -> DataFrame:
     return calls.join(clean_list(procedures), F.col("callee") == F.col("name")).select("unit_id", "callee", "n")

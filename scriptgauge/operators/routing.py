@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..functions import lexing as L
 from ..functions import text as T
 
 DEFAULT_SCHEMA, DEFAULT_DIALECT = "HR", P.ORACLE
@@ -34,7 +35,7 @@ def route(scripts: DataFrame) -> DataFrame:
 
 
 def package_flag(dialect, clean):
-    """Is the text a package body? Hive has none; Gauss also accepts several units in one text."""
+    """Is the shielded text a package body? Hive has none; Gauss also accepts several units in one text."""
     body = clean.rlike(P.PACKAGE_BODY)
     procedures = T.count_matches(clean, P.PROCEDURE_HEADER)
     functions = T.count_matches(clean, P.FUNCTION_HEADER)
@@ -46,17 +47,18 @@ def package_flag(dialect, clean):
 
 
 def package_name(clean, fallback):
-    return F.coalesce(T.first_match(clean, P.PACKAGE_BODY_NAME), T.first_match(clean, P.PACKAGE_END_NAME), fallback)
+    return F.coalesce(L.plain_name(T.first_match(clean, P.PACKAGE_BODY_NAME)), T.first_match(clean, P.PACKAGE_END_NAME), fallback)
 
 
 def with_package(scripts: DataFrame) -> DataFrame:
-    """Add the comment-free text, whether it is a package, and the package's name."""
+    """Add the comment-free text, the same with shielded quotes (``safe``), whether it is a package, and the package's name."""
     clean = T.settle(
         scripts, {"clean": T.without_comments(F.col("src")), "base_name": base_name(F.col("path"))}
     )
-    flagged = T.settle(clean, {"is_package": package_flag(F.col("dialect"), F.col("clean"))})
+    safe = T.settle(clean, {"safe": L.shield(F.col("clean"))})
+    flagged = T.settle(safe, {"is_package": package_flag(F.col("dialect"), F.col("safe"))})
     return flagged.withColumn(
-        "package_name", F.when(F.col("is_package"), package_name(F.col("clean"), F.col("base_name")))
+        "package_name", F.when(F.col("is_package"), package_name(F.col("safe"), F.col("base_name")))
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import lexing as L
 from ..functions import patterns as P
 from ..functions import text as T
 
@@ -21,20 +22,33 @@ def split_text(scripts: DataFrame) -> DataFrame:
     )
 
 
-def body_statements(source: Column, dialect: Column) -> Column:
-    found = T.by_dialect(dialect, {name: T.all_matches(source, pattern) for name, pattern in P.BODY_STATEMENT.items()})
-    return F.transform(found, T.trimmed)
+def body_statements(safe: Column, dialect: Column) -> Column:
+    """SQL statements of a shielded body."""
+    found = T.by_dialect(dialect, {name: T.all_matches(safe, pattern) for name, pattern in P.BODY_STATEMENT.items()})
+    return F.transform(found, lambda s: T.trimmed(L.unshield(s)))
 
 
-def body_calls(source: Column) -> Column:
-    return F.transform(T.all_matches(source, P.BODY_CALL), T.trimmed)
+def body_calls(safe: Column) -> Column:
+    """Calls that are statements of a shielded body: without brackets, a name and one bracket are all that stands there."""
 
+    def of(parts: Column) -> Column:
+        ended = T.bind(F.split(F.element_at(parts, -1), ";"), lambda s: F.slice(s, F.lit(1), F.size(s) - 1))
+        flat = F.filter(F.transform(ended, lambda s: F.regexp_extract(s, P.FLAT_CALL, 1)), lambda c: F.length(c) > 0)
+        return F.transform(flat, lambda c: F.concat(T.trimmed(L.unshield(L.with_brackets(c, parts))), F.lit(";")))
 
-def dynamic_literals(source: Column, dialect: Column) -> Column:
-    """Gauss: the literal of EXECUTE IMMEDIATE is a statement of its own, doubled quotes undone."""
-    found = F.when((dialect == P.GAUSS) & F.upper(source).contains("IMMEDIATE"), T.all_matches(source, P.DYNAMIC_LITERAL, 1))
-    plain = F.transform(found, lambda literal: T.trimmed(F.replace(literal, F.lit("''"), F.lit("'"))))
-    return F.coalesce(plain, F.array().cast("array<string>"))
+    return T.bind(L.scopes(safe), of)
+
+
+def dynamic_literals(safe: Column, dialect: Column) -> Column:
+    """The literal of EXECUTE IMMEDIATE is a statement of its own, doubled quotes undone."""
+    found = F.when((dialect != P.HIVE) & F.upper(safe).contains("IMMEDIATE"), T.all_matches(safe, P.DYNAMIC_LITERAL, 1))
+
+    def plain(literal: Column) -> Column:
+        own = literal.startswith("'")
+        text = F.when(own, F.substring(literal, F.lit(2), F.length(literal) - 2)).otherwise(F.substring(literal, F.lit(4), F.length(literal) - 5))
+        return T.trimmed(F.when(own, F.replace(L.unshield(text), F.lit("''"), F.lit("'"))).otherwise(L.unshield(text)))
+
+    return F.coalesce(F.transform(found, plain), F.array().cast("array<string>"))
 
 
 def _tagged(texts: Column, origin: str) -> Column:
@@ -42,17 +56,18 @@ def _tagged(texts: Column, origin: str) -> Column:
 
 
 def statement_structs(source: Column, dialect: Column) -> Column:
-    """All statements of a unit: SQL, then calls whose text is not yet there, then dynamic literals.
+    """All statements of a unit: SQL, then each different call, then dynamic literals.
 
-    ``array_except`` is a hash anti join inside the row, so no shuffle is needed
-    and the same expression works on a stream.
+    They are found in the shielded text, so the text of a literal is a statement
+    once at most. All happens inside the row: no shuffle is needed and the same
+    expression works on a stream.
     """
     return T.bind(
-        body_statements(source, dialect),
-        lambda found: F.concat(
-            _tagged(found, SQL),
-            _tagged(F.array_except(body_calls(source), found), CALL),
-            _tagged(dynamic_literals(source, dialect), DYNAMIC),
+        L.shield(source),
+        lambda safe: F.concat(
+            _tagged(body_statements(safe, dialect), SQL),
+            _tagged(F.array_distinct(body_calls(safe)), CALL),
+            _tagged(dynamic_literals(safe, dialect), DYNAMIC),
         ),
     )
 
@@ -70,10 +85,18 @@ def is_dynamic(sql: Column) -> Column:
     return sql.contains("||") & sql.rlike(P.CONCATENATION)
 
 
+def main_verb(sql: Column, pattern: str) -> Column:
+    """The first verb outside all brackets, SELECT if there is none."""
+    outside = F.element_at(L.scopes(L.shield(sql)), -1)
+    return F.coalesce(F.upper(T.first_match(outside, pattern)), F.lit("SELECT"))
+
+
 def keyword_type(sql: Column, dialect: Column) -> Column:
     return T.bind(
         F.upper(F.regexp_extract(sql, P.FIRST_WORD, 1)),
-        lambda word: F.when(word.isin("SELECT", "WITH"), "SELECT")
+        lambda word: F.when(word == "SELECT", "SELECT")
+        .when(word == "WITH", main_verb(sql, P.FIRST_DML))
+        .when((dialect == P.HIVE) & (word == "FROM"), main_verb(sql, P.MULTI_INSERT))
         .when(word.isin(*P.SIMPLE_TYPES), word)
         .when(sql.rlike(P.TRANSACTION_WORD), F.upper(F.regexp_extract(sql, P.TRANSACTION_WORD, 1)))
         .when(sql.rlike(P.LEADING_CALL), "CALL")
@@ -91,6 +114,7 @@ def fail_reason(sql: Column, kind: Column, dialect: Column) -> Column:
     return (
         F.when(size == 0, "empty")
         .when(unchecked, None)
+        .when(kind == "UNKNOWN", "unrecognised")
         .when(size < 10, F.when(kind.isin("SELECT", "INSERT", "UPDATE", "DELETE"), "too_short"))
         .when((kind == "SELECT") & ~sql.rlike(P.HAS_FROM), "missing_from")
         .when((kind == "INSERT") & ~has_into, "missing_into")

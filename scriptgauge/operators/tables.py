@@ -1,10 +1,17 @@
-"""Table references of statements, as arrays inside the row and as long tables."""
+"""Table references of statements, as arrays inside the row and as long tables.
+
+A statement is looked at in flat parts: the contents of each bracket, and what
+stands outside all of them. A part is one scope. Its FROM clause runs to the next
+clause word, and all commas in it part tables; the names that its WITH gives hide
+tables of the same name in it and in the brackets inside it, nowhere else.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import lexing as L
 from ..functions import patterns as P
 from ..functions import text as T
 from .statements import statement_structs, type_of
@@ -12,32 +19,87 @@ from .statements import statement_structs, type_of
 DYNAMIC_TABLE = "DYNAMIC_TABLE"
 
 
+def _none() -> Column:
+    return F.array().cast("array<string>")
+
+
 def _lowered(names: Column) -> Column:
     return F.array_distinct(F.transform(names, F.lower))
 
 
-def _cte_names(sql: Column) -> Column:
-    found = F.when(sql.rlike(P.CTE_MARK), T.all_matches(sql, P.CTE_NAME, 1))
-    return F.coalesce(F.transform(found, F.lower), F.array().cast("array<string>"))
+def _names(found: Column) -> Column:
+    """Lower-case names without quotes; what stands directly before a bracket is a function, not a table."""
+    tables = F.filter(found, lambda name: (F.length(name) > 0) & ~name.rlike(P.IS_CALL))
+    plain = F.transform(tables, lambda name: F.lower(L.plain_name(T.trimmed(name))))
+    return F.array_except(F.array_distinct(plain), F.array(*[F.lit(w) for w in P.NOT_A_TABLE]))
 
 
-def read_names(sql: Column, kind: Column) -> Column:
-    """Distinct lower-case names after FROM (whole comma lists) and JOIN, without CTE names; MERGE adds USING."""
-    no_delete = F.when(kind == "SELECT", sql).otherwise(F.regexp_replace(sql, P.DELETE_FROM, "DELETE"))
-    lists = F.transform(T.all_matches(no_delete, P.FROM_LIST, 1), lambda names: F.split(names, r"\s*,\s*"))
-    listed = F.transform(F.flatten(lists), lambda item: F.regexp_extract(item, P.LEADING_NAME, 0))
-    using = F.when(kind == "MERGE", T.all_matches(sql, P.MERGE_SOURCE, 1)).otherwise(F.array().cast("array<string>"))
-    return F.array_except(_lowered(F.concat(listed, T.all_matches(sql, P.JOIN_NAME, 1), using)), _cte_names(sql))
+def _outermost_first(parts: Column, body) -> Column:
+    """``body(part, index, is_outermost)`` of every part."""
+    order = F.concat(F.array(F.size(parts) - 1), F.sequence(F.lit(0), F.size(parts) - 2))
+    order = F.when(F.size(parts) > 1, order).otherwise(F.array(F.lit(0)))
+    return F.transform(order, lambda i: body(F.get(parts, i), i, i == F.size(parts) - 1))
 
 
-def write_names(sql: Column) -> Column:
-    """Distinct lower-case targets of INSERT, MERGE, UPDATE and DELETE."""
-    found = F.concat(
-        T.all_matches(sql, P.INSERT_TARGET, 1),
-        T.all_matches(sql, P.UPDATE_TARGET, 1),
-        T.all_matches(sql, P.DELETE_TARGET, 1),
-    )
-    return F.array_except(_lowered(found), F.array(*[F.lit(w) for w in P.NOT_A_TABLE]))
+def _part_sources(part: Column, outermost: Column, kind: Column) -> Column:
+    """Names after FROM, in whole lists, and after JOIN; the outermost part of a MERGE adds USING."""
+    text = F.when(part.rlike(P.NO_SOURCE), F.regexp_replace(part, P.NO_SOURCE, " ")).otherwise(part)
+    is_query = outermost | part.rlike(P.QUERY_PART)
+    joins = F.upper(part).contains("JOIN")
+
+    def items(clauses: Column) -> Column:
+        return F.transform(F.flatten(F.transform(clauses, lambda c: F.split(c, P.FROM_ITEM_END))), lambda i: F.regexp_extract(i, P.FROM_ITEM, 1))
+
+    clauses = F.when(is_query, T.all_matches(text, P.FROM_CLAUSE, 1)).when(joins, F.array(part)).otherwise(_none())
+    joined = F.when(joins, T.all_matches(part, P.JOIN_ITEM, 1)).otherwise(_none())
+    using = F.when(outermost & (kind == "MERGE"), T.all_matches(part, P.USING_ITEM, 1)).otherwise(_none())
+    return _names(F.concat(items(clauses), joined, using))
+
+
+def _hidden_names(parts: Column) -> Column:
+    """For each part the names that its own WITH and those of all parts around it give."""
+    given = F.transform(parts, lambda part: F.when(part.rlike(P.CTE_MARK), F.transform(T.all_matches(part, P.CTE_NAME, 1), lambda n: F.lower(L.plain_name(n)))).otherwise(_none()))
+
+    def with_inner(inner: Column, part: Column) -> Column:
+        children = F.transform(T.all_matches(part, P.CHILD, 1), lambda n: n.cast("int"))
+        return F.array_append(inner, F.concat(children, F.flatten(F.transform(children, lambda c: F.get(inner, c)))))
+
+    inner = F.aggregate(parts, F.array().cast("array<array<int>>"), with_inner)
+
+    def around(given: Column, inner: Column) -> Column:
+        return F.transform(
+            parts,
+            lambda _, i: F.flatten(F.transform(inner, lambda inside, k: F.when((k == i) | F.array_contains(inside, i), F.get(given, k)).otherwise(_none()))),
+        )
+
+    return T.bind(given, lambda g: T.bind(inner, lambda i: around(g, i)))
+
+
+def read_names(parts: Column, kind: Column) -> Column:
+    """Distinct lower-case names that the parts read, the outermost part's first, without the names that hide them."""
+
+    def seen(hidden: Column) -> Column:
+        return _outermost_first(parts, lambda part, i, outermost: F.array_except(_part_sources(part, outermost, kind), F.get(hidden, i)))
+
+    plain = _outermost_first(parts, lambda part, i, outermost: _part_sources(part, outermost, kind))
+    has_with = F.exists(parts, lambda part: part.rlike(P.CTE_MARK))
+    return F.array_distinct(F.flatten(F.when(has_with, T.bind(_hidden_names(parts), seen)).otherwise(plain)))
+
+
+def write_names(parts: Column) -> Column:
+    """Distinct lower-case targets of INSERT, MERGE, UPDATE and DELETE; INSERT ALL and Hive's INSERT lists have several."""
+
+    def targets(part: Column, outermost: Column) -> Column:
+        text = F.when(part.rlike(P.NO_TABLE_TARGET), F.regexp_replace(part, P.NO_TABLE_TARGET, " ")).otherwise(part)
+        many = F.when(text.rlike(P.INSERT_ALL), T.all_matches(text, P.INTO_TARGET, 1)).otherwise(T.all_matches(text, P.INSERT_TARGET, 1))
+        found = F.concat(many, T.all_matches(text, P.UPDATE_TARGET, 1), T.all_matches(text, P.DELETE_TARGET, 1))
+        return F.when(outermost | part.rlike(P.DML_PART), _names(found)).otherwise(_none())
+
+    return F.array_distinct(F.flatten(_outermost_first(parts, lambda part, i, outermost: targets(part, outermost))))
+
+
+def flat_parts(sql: Column) -> Column:
+    return L.scopes(L.shield(sql))
 
 
 def dynamic_names(sql: Column) -> Column:
@@ -56,30 +118,38 @@ def dynamic_names(sql: Column) -> Column:
 
 def ddl_target(sql: Column, kind: Column) -> Column:
     """Target of CREATE, LOAD, ALTER, ... ; a single chain of literal patterns."""
-    result = None
-    for name, pattern in P.DDL_TARGET.items():
-        value = F.lower(T.first_match(sql, pattern))
-        result = F.when(kind == name, value) if result is None else result.when(kind == name, value)
-    return result
 
+    def chosen(safe: Column) -> Column:
+        result = None
+        for name, pattern in P.DDL_TARGET.items():
+            value = F.lower(L.plain_name(T.first_match(safe, pattern)))
+            result = F.when(kind == name, value) if result is None else result.when(kind == name, value)
+        return result
 
-def name_columns(sql: Column, kind: Column, upper: Column | None = None) -> dict[str, Column]:
-    """``reads``, ``writes`` and ``dynamic_refs`` of a statement by its parsed type."""
-    none = F.array().cast("array<string>")
+    return F.when(kind.isin(*P.DDL_TARGET), T.bind(L.shield(sql), chosen))
+
+
+def named_parts(sql: Column, kind: Column, upper: Column | None = None) -> Column:
+    """The flat parts of a statement that may name tables, none otherwise."""
     upper = F.upper(sql) if upper is None else upper
-    is_dynamic = kind == "DYNAMIC_SQL"
-    no_source = is_dynamic | ~T.has_any(upper, "FROM", "JOIN", "USING")
-    no_target = is_dynamic | (kind == "SELECT") | ~T.has_any(upper, "INTO", "OVERWRITE", "UPDATE", "DELETE")
+    words = T.has_any(upper, "FROM", "JOIN", "USING", "INTO", "OVERWRITE", "UPDATE", "DELETE")
+    return F.when(words & (kind != "DYNAMIC_SQL"), flat_parts(sql)).otherwise(_none())
+
+
+def name_columns(sql: Column, kind: Column, parts: Column) -> dict[str, Column]:
+    """``reads``, ``writes`` and ``dynamic_refs`` of a statement by its parsed type."""
     return {
-        "reads": F.when(no_source, none).otherwise(read_names(sql, kind)),
-        "writes": F.when(no_target, none).otherwise(write_names(sql)),
-        "dynamic_refs": F.when(is_dynamic, dynamic_names(sql)).otherwise(none),
+        "reads": F.when(F.size(parts) == 0, _none()).otherwise(read_names(parts, kind)),
+        "writes": F.when((F.size(parts) == 0) | (kind == "SELECT"), _none()).otherwise(write_names(parts)),
+        "dynamic_refs": F.when(kind == "DYNAMIC_SQL", dynamic_names(sql)).otherwise(_none()),
     }
 
 
 def with_names(statements: DataFrame) -> DataFrame:
     """Add the name arrays to classified statements."""
-    return statements.withColumns(name_columns(F.col("sql"), F.col("parsed_type")))
+    sql, kind = F.col("sql"), F.col("parsed_type")
+    cut = T.settle(statements, {"parts": named_parts(sql, kind)})
+    return cut.withColumns(name_columns(sql, kind, F.col("parts"))).drop("parts")
 
 
 def table_list(kind: Column, dialect: Column, reads: Column, writes: Column, dynamic_refs: Column) -> Column:
@@ -124,11 +194,10 @@ def table_refs(statements: DataFrame, keys: list[str]) -> DataFrame:
 
 def write_targets(statements: DataFrame, keys: list[str]) -> DataFrame:
     """First target of each INSERT, UPDATE, DELETE or MERGE, and the source of a MERGE."""
-    source = F.when(F.col("parsed_type") == "MERGE", F.lower(T.first_match(F.col("sql"), P.MERGE_SOURCE)))
-    return (
-        statements.filter(F.col("parsed_type").isin(*P.DML_TYPES))
-        .select(*keys, "dialect", "parsed_type", F.get(write_names(F.col("sql")), F.lit(0)).alias("target"), source.alias("merge_source"))
-    )
+    changes = T.settle(statements.filter(F.col("parsed_type").isin(*P.DML_TYPES)), {"parts": flat_parts(F.col("sql"))})
+    outermost = F.element_at("parts", -1)
+    source = F.when(F.col("parsed_type") == "MERGE", F.lower(L.plain_name(T.first_match(outermost, P.MERGE_SOURCE))))
+    return changes.select(*keys, "dialect", "parsed_type", F.get(write_names(F.col("parts")), F.lit(0)).alias("target"), source.alias("merge_source"))
 
 
 def ddl_targets(statements: DataFrame, keys: list[str]) -> DataFrame:
@@ -155,7 +224,8 @@ def unit_refs(source: Column, dialect: Column) -> Column:
         statement_structs(source, dialect),
         lambda s: F.struct(s["sql"].alias("sql"), type_of(s["sql"], dialect, s["origin"]).alias("kind")),
     )
-    return F.array_distinct(F.flatten(F.transform(typed, lambda s: F.concat(*name_columns(s["sql"], s["kind"]).values()))))
+    cut = F.transform(typed, lambda s: s.withField("parts", named_parts(s["sql"], s["kind"])))
+    return F.array_distinct(F.flatten(F.transform(cut, lambda s: F.concat(*name_columns(s["sql"], s["kind"], s["parts"]).values()))))
 
 
 def unit_tables(units: DataFrame) -> DataFrame:

@@ -1,10 +1,16 @@
-"""Split scripts into units (procedures, functions, plain scripts) without a shuffle."""
+"""Split scripts into units (procedures, functions, plain scripts) without a shuffle.
+
+Headers are found in the text with shielded quotes, so a keyword or semicolon in a
+literal starts or ends nothing and a quoted name is a name. Units get their own
+characters back when they are cut.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import lexing as L
 from ..functions import patterns as P
 from ..functions import text as T
 from .routing import with_package
@@ -13,8 +19,8 @@ SCRIPT_KEYS = ["script_id", "path", "dialect", "schema_name", "ts", "package_nam
 
 
 def _chunks() -> F.Column:
-    """Parts of the comment-free text that start at a unit header, in text order."""
-    parts = F.filter(F.split("clean", P.UNIT_SPLIT), lambda part: part.rlike(P.UNIT_START))
+    """Parts of the shielded text that start at a unit header, in text order."""
+    parts = F.filter(F.split("safe", P.UNIT_SPLIT), lambda part: part.rlike(P.UNIT_START))
     whole = F.transform(parts, lambda part: T.trimmed(F.regexp_replace(part, P.DANGLING_CREATE, "")))
     # the package's own END closes the text, it is not part of the last unit
     return T.bind(
@@ -29,44 +35,64 @@ def _chunks() -> F.Column:
     )
 
 
-def _unit_structs(parts: F.Column) -> F.Column:
-    return F.transform(
-        parts,
-        lambda part, i: F.struct(
-            F.lower(T.last_segment(F.regexp_extract(part, P.UNIT_START, 2))).alias("key"),
-            (i + 1).cast("bigint").alias("pos"),
-            F.upper(F.regexp_extract(part, P.UNIT_START, 1)).alias("unit_kind"),
-            T.last_segment(F.regexp_extract(part, P.UNIT_START, 2)).alias("unit_name"),
-            part.alias("source_code"),
-        ),
+def _unit(key: F.Column, pos: F.Column, kind: F.Column, name: F.Column, source: F.Column, arguments: F.Column) -> F.Column:
+    return F.struct(
+        F.lower(key).alias("key"),
+        pos.cast("bigint").alias("pos"),
+        kind.alias("unit_kind"),
+        name.alias("unit_name"),
+        source.alias("source_code"),
+        arguments["least"].alias("least_args"),
+        arguments["most"].alias("most_args"),
     )
 
 
-def _first_of_each_name(structs: F.Column) -> F.Column:
-    """Sorting by (name, position) inside the row puts the first definition of a name in front."""
-    return T.bind(
-        F.array_sort(structs),
-        lambda ordered: F.filter(
-            ordered, lambda unit, i: (i == 0) | (F.get(ordered, i - 1)["key"] != unit["key"])
-        ),
-    )
+def _unit_structs(parts: F.Column) -> F.Column:
+    """One struct per shielded part, with the range of arguments that its header takes."""
+
+    def unit(part: F.Column, i: F.Column) -> F.Column:
+        name = L.plain_name(T.last_segment(F.regexp_extract(part, P.UNIT_START, 2)))
+        arguments = L.argument_range(F.regexp_extract(part, P.UNIT_HEADER_TEXT, 1))
+        return _unit(name, i + 1, F.upper(F.regexp_extract(part, P.UNIT_START, 1)), name, L.unshield(part), arguments)
+
+    return F.transform(parts, unit)
+
+
+def _of_each_name(structs: F.Column, overloads: F.Column) -> F.Column:
+    """In order of (name, position), the first definition of each name; with ``overloads`` all, the later ones numbered in their key."""
+
+    def numbered(ordered: F.Column, keys: F.Column) -> F.Column:
+        def with_number(unit: F.Column, i: F.Column) -> F.Column:
+            nth = i + 2 - F.array_position(keys, unit["key"])
+            return F.when(nth > 1, unit.withField("key", F.concat(unit["key"], F.lit("#"), nth.cast("string")))).otherwise(unit)
+
+        return F.transform(ordered, with_number)
+
+    def chosen(ordered: F.Column) -> F.Column:
+        first = F.filter(ordered, lambda unit, i: (i == 0) | (F.get(ordered, i - 1)["key"] != unit["key"]))
+        every = T.bind(F.transform(ordered, lambda unit: unit["key"]), lambda keys: numbered(ordered, keys))
+        return F.when(overloads, every).otherwise(first)
+
+    return T.bind(F.array_sort(structs), chosen)
 
 
 def header_chunks(scripts: DataFrame) -> DataFrame:
     """Every chunk that starts at a header, declarations included."""
     return (
         with_package(scripts)
-        .withColumn("closes_package", F.col("clean").rlike(P.PACKAGE_BODY))
+        .withColumn("closes_package", F.col("safe").rlike(P.PACKAGE_BODY))
         .withColumn("chunks", _chunks())
     )
 
 
 def chunk_rows(scripts: DataFrame) -> DataFrame:
+    chunks = F.transform(
+        _unit_structs(F.col("chunks")), lambda unit, i: unit.withField("has_body", F.get(F.col("chunks"), i).rlike(P.UNIT_WITH_BODY))
+    )
     return (
         header_chunks(scripts)
-        .select("script_id", "dialect", "package_name", F.posexplode(_unit_structs(F.col("chunks"))).alias("i", "u"))
+        .select("script_id", "dialect", "package_name", F.posexplode(chunks).alias("i", "u"))
         .select("script_id", "dialect", "package_name", "u.*")
-        .withColumn("has_body", F.col("source_code").rlike(P.UNIT_WITH_BODY))
     )
 
 
@@ -75,12 +101,12 @@ def dropped_parts(scripts: DataFrame) -> DataFrame:
     base = header_chunks(scripts.filter(F.col("dialect").isin(P.ORACLE, P.GAUSS) & ~T.is_blank(F.col("src"))))
     declared = F.transform(
         F.filter("chunks", lambda part: ~part.rlike(P.UNIT_WITH_BODY)),
-        lambda part: F.struct(F.lit("declaration without a body").alias("reason"), part.alias("text")),
+        lambda part: F.struct(F.lit("declaration without a body").alias("reason"), L.unshield(part).alias("text")),
     )
-    first = F.get(F.split("clean", P.UNIT_SPLIT), F.lit(0))
-    before = T.trimmed(F.regexp_replace(first, P.DANGLING_CREATE, ""))
+    first = F.get(F.split("safe", P.UNIT_SPLIT), F.lit(0))
+    before = T.trimmed(L.unshield(F.regexp_replace(first, P.DANGLING_CREATE, "")))
     outside = F.when(
-        F.col("package_name").isNull() & F.col("clean").rlike(P.UNIT_HEADER) & ~first.rlike(P.UNIT_START) & (F.length(before) > 0),
+        F.col("package_name").isNull() & F.col("safe").rlike(P.UNIT_HEADER) & ~first.rlike(P.UNIT_START) & (F.length(before) > 0),
         F.array(F.struct(F.lit("text before the first header").alias("reason"), before.alias("text"))),
     ).otherwise(F.filter(declared, lambda part: F.lit(False)))
     parts = base.select("script_id", "dialect", F.explode(F.concat(declared, outside)).alias("p"))
@@ -90,41 +116,31 @@ def dropped_parts(scripts: DataFrame) -> DataFrame:
 def split_units(scripts: DataFrame) -> DataFrame:
     """One row per unit of every script with a known dialect.
 
-    Headers start units; declarations without a body are left out and the first
-    of several equal names wins. A text without any header is one unit, and so
-    is a Hive script, unless it defines functions. All steps run inside the row,
-    so the texts are never shuffled.
+    Headers start units; declarations without a body are left out. Of equal names
+    Oracle keeps every definition (an overload's key ends in ``#`` and its number),
+    the others the first. A text without any header is one unit, and so is a Hive
+    script, unless it defines functions. All steps run inside the row, so the texts
+    are never shuffled.
     """
     base = header_chunks(scripts.filter(F.col("dialect").isin(*P.DIALECTS)))
     bodies = F.filter("chunks", lambda part: part.rlike(P.UNIT_WITH_BODY))
-    named = _first_of_each_name(_unit_structs(bodies))
-
-    definitions = T.all_matches(F.col("clean"), P.HIVE_UDF)
-    udfs = F.transform(
-        definitions,
-        lambda part, i: F.struct(
-            F.lower(F.regexp_extract(part, P.HIVE_UDF_NAME, 1)).alias("key"),
-            (i + 1).cast("bigint").alias("pos"),
-            F.lit("UDF").alias("unit_kind"),
-            F.regexp_extract(part, P.HIVE_UDF_NAME, 1).alias("unit_name"),
-            T.trimmed(part).alias("source_code"),
-        ),
-    )
-    whole = F.array(
-        F.struct(
-            F.lower("base_name").alias("key"),
-            F.lit(1).cast("bigint").alias("pos"),
-            F.lit("SCRIPT").alias("unit_kind"),
-            F.col("base_name").alias("unit_name"),
-            T.trimmed(F.col("clean")).alias("source_code"),
-        )
-    )
+    named = _of_each_name(_unit_structs(bodies), F.col("dialect") == P.ORACLE)
+    unknown = F.struct(F.lit(None).cast("bigint").alias("least"), F.lit(None).cast("bigint").alias("most"))
+
+    definitions = T.all_matches(F.col("safe"), P.HIVE_UDF)
+
+    def udf(part: F.Column, i: F.Column) -> F.Column:
+        name = L.plain_name(F.regexp_extract(part, P.HIVE_UDF_NAME, 1))
+        return _unit(name, i + 1, F.lit("UDF"), name, T.trimmed(L.unshield(part)), unknown)
+
+    udfs = F.transform(definitions, udf)
+    whole = F.array(_unit(F.col("base_name"), F.lit(1), F.lit("SCRIPT"), F.col("base_name"), T.trimmed(F.col("clean")), unknown))
     nothing = F.filter(whole, lambda unit: F.lit(False))
     is_hive = F.col("dialect") == P.HIVE
     units = (
         F.when(T.is_blank(F.col("clean")), nothing)
-        .when(is_hive & F.col("clean").rlike(P.HIVE_UDF), _first_of_each_name(udfs))
-        .when(is_hive | ~F.col("clean").rlike(P.UNIT_HEADER), whole)
+        .when(is_hive & F.col("safe").rlike(P.HIVE_UDF), _of_each_name(udfs, F.lit(False)))
+        .when(is_hive | ~F.col("safe").rlike(P.UNIT_HEADER), whole)
         .otherwise(named)
     )
     return (

@@ -388,6 +388,11 @@ def nested_calls(spark, sf):
     return names.nested_calls(_units(spark, sf), _functions(spark, sf))
 
 
+@query
+def call_sites(spark, sf):
+    return names.call_table(_units(spark, sf))
+
+
 @query
 def high_weight_procedures(spark, sf):
     calls = names.nested_calls(_units(spark, sf), _functions(spark, sf))

@@ -7,6 +7,7 @@ from a reachability closure. Only patterns and the corpus expression are shared.
 
 from __future__ import annotations
 
+from ..functions import lexing as L
 from ..functions import patterns as P
 from ..functions import weights as W
 from ..functions.names import BUILTINS
@@ -78,6 +79,33 @@ def listed(words) -> str:
     return "[" + ", ".join(lit(w) for w in words) + "]"
 
 
+def shield(text: str) -> str:
+    """Stand-ins for all characters inside quotes; the corpus has no dollar quotes."""
+
+    def inner(first: int, last: int) -> str:
+        return f"substr(t, 1, {first}) || translate(substr(t, {first + 1}, length(t) - {first + last}), {lit(L.PLAIN)}, {lit(L.STAND_INS)}) || substr(t, length(t) - {last - 1}, {last})"
+
+    return f"""CASE WHEN {has(text, P.ANY_QUOTE)} THEN array_to_string(list_transform({every(text, P.QUOTED_OR_PLAIN)}, lambda t:
+      CASE WHEN length(t) > 1 AND starts_with(t, '{"''"}') THEN {inner(1, 1)}
+           WHEN length(t) > 1 AND (starts_with(t, '"') OR starts_with(t, '`')) THEN translate(t, {lit(L.PLAIN)}, {lit(L.STAND_INS)})
+           WHEN {has('t', P.Q_QUOTE_START)} THEN {inner(2, 1)} ELSE t END), '') ELSE {text} END"""
+
+
+def unshield(text: str) -> str:
+    return f"translate({text}, {lit(L.STAND_INS)}, {lit(L.PLAIN)})"
+
+
+def named(text: str) -> str:
+    return f"regexp_replace({unshield(text)}, {rx(P.NAME_QUOTES)}, '', 'g')"
+
+
+def flat(text: str) -> str:
+    """Brackets replaced by a mark, inner ones first; six levels, more than the corpus has."""
+    for _ in range(6):
+        text = f"regexp_replace({text}, {rx(P.INNERMOST)}, {lit(L.OPEN_MARK + '0' + L.CLOSE_MARK)}, 'g')"
+    return text
+
+
 def peak(steps: str) -> str:
     """Running sum clamped at zero; level and peak travel in one number."""
     level = "greatest(0, a % 100000 + x)"
@@ -121,79 +149,87 @@ cte(
     "SELECT * FROM (VALUES " + ", ".join(f"({lit(d)}, {lit(f)}, CAST({w} AS DOUBLE))" for d, f, w in W.rows()) + ") AS t(dialect, factor, weight)",
 )
 
+# a bracket behind a word, the word alone, and one flat bracket at the start
+WORD_BRACKET, KEEP, FLAT_LIST = r"(\w)\s*\([^()]*\)", r"\1", r"^\s*\(([^()]*)\)"
 BASE_NAME = f"regexp_replace(list_extract(str_split(path, '/'), -1), {rx(P.SQL_SUFFIX)}, '')"
 
 
 # --- scripts to units ------------------------------------------------------
 def unit_ctes(tag: str, source: str) -> None:
     """clean<tag>, chunks<tag> and units<tag> from the script table ``source``."""
-    procedures, functions = count("clean", P.PROCEDURE_HEADER), count("clean", P.FUNCTION_HEADER)
+    procedures, functions = count("safe", P.PROCEDURE_HEADER), count("safe", P.FUNCTION_HEADER)
     cte(
         "clean" + tag,
         (source,),
         f"""
-SELECT *, CASE WHEN is_package THEN coalesce({one('clean', P.PACKAGE_BODY_NAME)}, {one('clean', P.PACKAGE_END_NAME)}, base_name) END AS package_name
+SELECT *, CASE WHEN is_package THEN coalesce({named(one('safe', P.PACKAGE_BODY_NAME))}, {one('safe', P.PACKAGE_END_NAME)}, base_name) END AS package_name
 FROM (
   SELECT *, CASE dialect
-    WHEN 'Oracle' THEN {has('clean', P.PACKAGE_BODY)}
-    WHEN 'Gauss' THEN {has('clean', P.PACKAGE_BODY)} OR {has('clean', P.PACKAGE_ANY)} OR {procedures} > 1 OR {functions} > 1
+    WHEN 'Oracle' THEN {has('safe', P.PACKAGE_BODY)}
+    WHEN 'Gauss' THEN {has('safe', P.PACKAGE_BODY)} OR {has('safe', P.PACKAGE_ANY)} OR {procedures} > 1 OR {functions} > 1
       OR ({procedures} > 0 AND {functions} > 0)
-      OR (contains(upper(clean), 'END ') AND (contains(upper(clean), 'PKG_') OR contains(upper(clean), '_PKG')))
+      OR (contains(upper(safe), 'END ') AND (contains(upper(safe), 'PKG_') OR contains(upper(safe), '_PKG')))
     ELSE FALSE END AS is_package
-  FROM (SELECT *, {strip('src')} AS clean, {BASE_NAME} AS base_name FROM {source})
+  FROM (SELECT *, {shield('clean')} AS safe FROM (SELECT *, {strip('src')} AS clean, {BASE_NAME} AS base_name FROM {source}))
 )""",
     )
-    marked = f"regexp_replace(clean, {lit('(?i)' + chr(92) + 'b((?:PROCEDURE|FUNCTION)' + chr(92) + 's+[' + chr(92) + 'w.]+' + chr(92) + 's*[(' + chr(92) + 's])')}, chr(1) || {lit(chr(92) + '1')}, 'g')"
+    header = P.UNIT_SPLIT.replace("(?=", "(")
+    marked = f"regexp_replace(safe, {rx(header)}, chr(1) || {lit(chr(92) + '1')}, 'g')"
     cte(
         "before_units" + tag,
         ("clean" + tag,),
         f"""
-SELECT script_id, dialect, {trim(f"regexp_replace(part, {rx(P.DANGLING_CREATE)}, '')")} AS part
+SELECT script_id, dialect, {trim(unshield(f"regexp_replace(part, {rx(P.DANGLING_CREATE)}, '')"))} AS part
 FROM (SELECT *, str_split({marked}, chr(1))[1] AS part FROM clean{tag})
-WHERE package_name IS NULL AND {has('clean', P.UNIT_HEADER)} AND NOT {has('part', P.UNIT_START)}""",
+WHERE package_name IS NULL AND {has('safe', P.UNIT_HEADER)} AND NOT {has('part', P.UNIT_START)}""",
     )
+    # brackets of types inside the parameter list go first, then the list is flat
+    listed_args = f"regexp_extract({sub(sub('head', WORD_BRACKET, KEEP), WORD_BRACKET, KEEP)}, {rx(FLAT_LIST)}, 1)"
     cte(
         "chunks" + tag,
         ("clean" + tag,),
         f"""
-SELECT script_id, dialect, package_name, pos, regexp_extract(text, {rx(P.UNIT_START)}, 1) AS kind,
-       {last(f"regexp_extract(text, {rx(P.UNIT_START)}, 2)")} AS unit_name, text, {has('text', P.UNIT_WITH_BODY)} AS has_body
+SELECT * EXCLUDE (head, args), len(args) AS most_args, len(list_filter(args, lambda x: NOT {has('x', P.HAS_DEFAULT)})) AS least_args
+FROM (SELECT *, list_filter(str_split({listed_args}, ','), lambda x: {has('x', P.VISIBLE)}) AS args
+FROM (
+SELECT script_id, dialect, package_name, pos, regexp_extract(shielded, {rx(P.UNIT_START)}, 1) AS kind, regexp_extract(shielded, {rx(P.UNIT_HEADER_TEXT)}, 1) AS head,
+       {named(last(f"regexp_extract(shielded, {rx(P.UNIT_START)}, 2)"))} AS unit_name, {unshield('shielded')} AS text, {has('shielded', P.UNIT_WITH_BODY)} AS has_body
 FROM (
   SELECT script_id, dialect, package_name, pos,
-         CASE WHEN closes AND pos = n THEN {trim(f"regexp_replace(part, {rx(P.CLOSING_END)}, '')")} ELSE part END AS text
+         CASE WHEN closes AND pos = n THEN {trim(f"regexp_replace(part, {rx(P.CLOSING_END)}, '')")} ELSE part END AS shielded
   FROM (
-    SELECT script_id, dialect, package_name, {has('clean', P.PACKAGE_BODY)} AS closes,
+    SELECT script_id, dialect, package_name, {has('safe', P.PACKAGE_BODY)} AS closes,
            {trim(f"regexp_replace(part, {rx(P.DANGLING_CREATE)}, '')")} AS part,
            row_number() OVER (PARTITION BY script_id ORDER BY i) AS pos, count(*) OVER (PARTITION BY script_id) AS n
     FROM (
-      SELECT script_id, dialect, package_name, clean, unnest(parts) AS part, generate_subscripts(parts, 1) AS i
+      SELECT script_id, dialect, package_name, safe, unnest(parts) AS part, generate_subscripts(parts, 1) AS i
       FROM (SELECT *, str_split({marked}, chr(1)) AS parts FROM clean{tag})
     ) WHERE {has('part', P.UNIT_START)}
   )
-)""",
+)))""",
     )
     known = f"dialect IN {values(P.DIALECTS)} AND {trim('clean')} <> ''"
     cte(
         "units" + tag,
         ("clean" + tag, "chunks" + tag),
         f"""
-SELECT u.script_id || ':' || u.key AS unit_id, u.*, c.path, c.dialect, c.schema_name, c.ts, c.package_name,
+SELECT u.script_id || ':' || u.key AS unit_id, u.*, c.path, c.schema_name, c.ts, c.package_name,
        concat_ws('.', c.package_name, u.unit_name) AS qualified_name
 FROM (
-  SELECT * FROM (
-    SELECT script_id, lower(unit_name) AS key, upper(kind) AS unit_kind, unit_name, pos, text AS source_code,
+  SELECT * REPLACE (CASE WHEN take > 1 THEN key || '#' || take ELSE key END AS key) FROM (
+    SELECT script_id, dialect, lower(unit_name) AS key, upper(kind) AS unit_kind, unit_name, pos, text AS source_code, least_args, most_args,
            row_number() OVER (PARTITION BY script_id, lower(unit_name) ORDER BY pos) AS take
-    FROM (SELECT script_id, kind, unit_name, text, row_number() OVER (PARTITION BY script_id ORDER BY pos) AS pos
+    FROM (SELECT * EXCLUDE (pos), row_number() OVER (PARTITION BY script_id ORDER BY pos) AS pos
           FROM chunks{tag} WHERE has_body AND dialect IN ('Oracle', 'Gauss'))
     UNION ALL
-    SELECT script_id, lower(name), 'UDF', name, pos, {trim('part')}, row_number() OVER (PARTITION BY script_id, lower(name) ORDER BY pos)
-    FROM (SELECT script_id, part, pos, {one('part', P.HIVE_UDF_NAME)} AS name
+    SELECT script_id, 'Hive', lower(name), 'UDF', name, pos, {trim(unshield('part'))}, NULL, NULL, row_number() OVER (PARTITION BY script_id, lower(name) ORDER BY pos)
+    FROM (SELECT script_id, part, pos, {named(one('part', P.HIVE_UDF_NAME))} AS name
           FROM (SELECT script_id, unnest(found) AS part, generate_subscripts(found, 1) AS pos
-                FROM (SELECT script_id, {every('clean', P.HIVE_UDF)} AS found FROM clean{tag} WHERE dialect = 'Hive')))
+                FROM (SELECT script_id, {every('safe', P.HIVE_UDF)} AS found FROM clean{tag} WHERE dialect = 'Hive')))
     UNION ALL
-    SELECT script_id, lower(base_name), 'SCRIPT', base_name, 1, {trim('clean')}, 1 FROM clean{tag}
-    WHERE {known} AND CASE WHEN dialect = 'Hive' THEN NOT {has('clean', P.HIVE_UDF)} ELSE NOT {has('clean', P.UNIT_HEADER)} END
-  ) WHERE take = 1
+    SELECT script_id, dialect, lower(base_name), 'SCRIPT', base_name, 1, {trim('clean')}, NULL, NULL, 1 FROM clean{tag}
+    WHERE {known} AND CASE WHEN dialect = 'Hive' THEN NOT {has('safe', P.HIVE_UDF)} ELSE NOT {has('safe', P.UNIT_HEADER)} END
+  ) WHERE take = 1 OR dialect = 'Oracle'
 ) u JOIN clean{tag} c USING (script_id)""",
     )
 
@@ -210,12 +246,14 @@ def statement_ctes(tag: str, source: str, keys: str, origin: bool) -> None:
     word = f"upper(regexp_extract(sql, {rx(P.FIRST_WORD)}, 1))"
     call = "WHEN origin = 'call' THEN 'CALL'" if origin else ""
     parsed = f"""CASE {call} WHEN {has('sql', P.CONCATENATION)} THEN 'DYNAMIC_SQL'
-      WHEN {word} IN ('SELECT', 'WITH') THEN 'SELECT' WHEN {word} IN {values(P.SIMPLE_TYPES)} THEN {word}
+      WHEN {word} = 'SELECT' THEN 'SELECT' WHEN {word} = 'WITH' THEN coalesce(upper({one('outside', P.FIRST_DML)}), 'SELECT')
+      WHEN dialect = 'Hive' AND {word} = 'FROM' THEN coalesce(upper({one('outside', P.MULTI_INSERT)}), 'SELECT') WHEN {word} IN {values(P.SIMPLE_TYPES)} THEN {word}
       WHEN {has('sql', P.TRANSACTION_WORD)} THEN upper(regexp_extract(sql, {rx(P.TRANSACTION_WORD)}, 1))
       WHEN {has('sql', P.LEADING_CALL)} THEN 'CALL'
       WHEN dialect = 'Hive' AND {word} IN {values(P.HIVE_TYPES)} THEN {word} ELSE 'UNKNOWN' END"""
     reason = f"""CASE WHEN {trim('sql')} = '' THEN 'empty'
       WHEN parsed_type IN {values(P.UNCHECKED_TYPES)} OR (dialect = 'Hive' AND parsed_type IN {values(P.HIVE_UNCHECKED_TYPES)}) THEN NULL
+      WHEN parsed_type = 'UNKNOWN' THEN 'unrecognised'
       WHEN length({trim('sql')}) < 10 THEN CASE WHEN parsed_type IN ('SELECT', 'INSERT', 'UPDATE', 'DELETE') THEN 'too_short' END
       WHEN parsed_type = 'SELECT' AND NOT {has('sql', P.HAS_FROM)} THEN 'missing_from'
       WHEN parsed_type = 'INSERT' AND dialect <> 'Hive' AND NOT {has('sql', P.HAS_INTO)} THEN 'missing_into'
@@ -223,32 +261,51 @@ def statement_ctes(tag: str, source: str, keys: str, origin: bool) -> None:
       WHEN parsed_type = 'UPDATE' AND NOT {has('sql', P.HAS_SET)} THEN 'missing_set'
       WHEN dialect = 'Hive' AND parsed_type = 'LOAD' AND NOT {has('sql', P.HAS_INTO_TABLE)} THEN 'missing_into_table' END"""
     cte(
-        "typed" + tag,
+        "peel" + tag,
         (source,),
         f"""
+SELECT sql, {shield('sql')} AS text, CAST([] AS VARCHAR[]) AS parts FROM (SELECT DISTINCT sql FROM {source})
+UNION ALL
+SELECT sql, array_to_string(list_transform(pieces, lambda p, i: p || CASE WHEN i < len(pieces) THEN {lit(L.OPEN_MARK)} || CAST(len(parts) + i - 1 AS VARCHAR) || {lit(L.CLOSE_MARK)} ELSE '' END), ''),
+       parts || {every('text', P.INNERMOST, 1)}
+FROM (SELECT *, regexp_split_to_array(text, {rx(P.INNERMOST)}) AS pieces FROM peel{tag} WHERE {has('text', P.INNERMOST)})""",
+    )
+    cte(
+        "typed" + tag,
+        (source, "peel" + tag),
+        f"""
 SELECT *, CASE WHEN fail_reason IS NULL THEN parsed_type ELSE 'UNKNOWN' END AS type
-FROM (SELECT *, {reason} AS fail_reason FROM (SELECT *, {parsed} AS parsed_type FROM {source}))""",
-    )
-    no_delete = f"CASE WHEN parsed_type = 'SELECT' THEN sql ELSE {sub('sql', P.DELETE_FROM, 'DELETE')} END"
-    items = f"""flatten(list_transform({every('no_delete', P.FROM_LIST, 1)},
-        lambda l: list_transform(regexp_split_to_array(l, {lit(chr(92) + 's*,' + chr(92) + 's*')}), lambda y: regexp_extract(y, {rx(P.LEADING_NAME)}))))"""
-    using = f"CASE WHEN parsed_type = 'MERGE' THEN {every('sql', P.MERGE_SOURCE, 1)} ELSE [] END"
-    ctes = f"CASE WHEN {has('sql', P.CTE_MARK)} THEN {lower_all(every('sql', P.CTE_NAME, 1))} ELSE [] END"
-    writes = f"{lower_all(every('sql', P.INSERT_TARGET, 1) + ' || ' + every('sql', P.UPDATE_TARGET, 1) + ' || ' + every('sql', P.DELETE_TARGET, 1))}"
+FROM (SELECT *, {reason} AS fail_reason FROM (SELECT *, {parsed} AS parsed_type
+  FROM {source} JOIN (SELECT sql, text AS outside, [text] || parts AS parts FROM peel{tag} WHERE NOT {has('text', P.INNERMOST)}) USING (sql)))""",
+    )
+    # the outermost part stands first in ``parts`` here; a name given by WITH hides tables in the whole statement
+    tables_of = lambda found: f"list_transform(list_filter({found}, lambda n: n <> '' AND NOT {has('n', P.IS_CALL)}), lambda n: lower({named(trim('n'))}))"
+    no_source = sub("p", P.NO_SOURCE, " ")
+    clauses = f"CASE WHEN i = 1 OR {has('p', P.QUERY_PART)} THEN {every(no_source, P.FROM_CLAUSE, 1)} WHEN contains(upper(p), 'JOIN') THEN [p] ELSE [] END"
+    items = f"flatten(list_transform({clauses}, lambda c: list_transform(regexp_split_to_array(c, {rx(P.FROM_ITEM_END)}), lambda x: regexp_extract(x, {rx(P.FROM_ITEM)}, 1))))"
+    using = f"CASE WHEN i = 1 AND parsed_type = 'MERGE' THEN {every('p', P.USING_ITEM, 1)} ELSE [] END"
+    sources = f"list_transform(parts, lambda p, i: {tables_of(f'({items}) || {every(chr(112), P.JOIN_ITEM, 1)} || {using}')})"
+    ctes = f"flatten(list_transform(parts, lambda p: CASE WHEN {has('p', P.CTE_MARK)} THEN list_transform({every('p', P.CTE_NAME, 1)}, lambda n: lower({named('n')})) ELSE [] END))"
+    no_target = sub("p", P.NO_TABLE_TARGET, " ")
+    inserts = f"CASE WHEN {has('p', P.INSERT_ALL)} THEN {every(no_target, P.INTO_TARGET, 1)} ELSE {every(no_target, P.INSERT_TARGET, 1)} END"
+    targets = f"({inserts}) || {every(no_target, P.UPDATE_TARGET, 1)} || {every(no_target, P.DELETE_TARGET, 1)}"
+    writes = f"flatten(list_transform(parts, lambda p, i: CASE WHEN i = 1 OR {has('p', P.DML_PART)} THEN {tables_of(targets)} ELSE [] END))"
+    words = " OR ".join(f"contains(upper(sql), '{w}')" for w in ("FROM", "JOIN", "USING", "INTO", "OVERWRITE", "UPDATE", "DELETE"))
     pieces = f"list_transform(str_split(sql, '||'), lambda p: {trim('replace(p, chr(39), ' + lit('') + ')')})"
     dynamic = f"flatten(list_transform({pieces}, lambda p: [regexp_extract(p, {rx(P.DYNAMIC_FROM)}, 1), regexp_extract(p, {rx(P.DYNAMIC_JOIN)}, 1)]))"
     cte(
         "named" + tag,
         ("typed" + tag,),
         f"""
-SELECT * EXCLUDE (r0, w0, d0, c0, no_delete),
-       CASE WHEN parsed_type = 'DYNAMIC_SQL' THEN [] ELSE list_filter({distinct('r0')}, lambda x: NOT list_contains(c0, x)) END AS reads,
+SELECT * EXCLUDE (r0, w0, d0, c0, parts, outside),
+       CASE WHEN parsed_type = 'DYNAMIC_SQL' OR NOT ({words}) THEN []
+            ELSE list_filter({distinct('r0')}, lambda x: NOT list_contains(c0, x) AND NOT list_contains({listed(P.NOT_A_TABLE)}, x)) END AS reads,
        CASE WHEN parsed_type IN ('DYNAMIC_SQL', 'SELECT') THEN [] ELSE list_filter({distinct('w0')}, lambda x: NOT list_contains({listed(P.NOT_A_TABLE)}, x)) END AS writes,
        CASE WHEN parsed_type = 'DYNAMIC_SQL' THEN {distinct('d0')} ELSE [] END AS dynamic_refs
 FROM (
-  SELECT *, {lower_all(items + ' || ' + every('sql', P.JOIN_NAME, 1) + ' || ' + using)} AS r0, {writes} AS w0, {ctes} AS c0,
+  SELECT *, flatten({sources}) AS r0, {writes} AS w0, {ctes} AS c0,
          list_filter({lower_all(dynamic)}, lambda x: x <> '') AS d0
-  FROM (SELECT *, {no_delete} AS no_delete FROM typed{tag})
+  FROM typed{tag}
 )""",
     )
     sel = "type = 'SELECT'"
@@ -315,7 +372,9 @@ statement_ctes("", "statements", "stmt_id", False)
 
 def body_ctes(tag: str) -> None:
     """body<tag>: statements of units<tag> in order, then typed_b<tag>, ... on top."""
-    found = "CASE dialect " + " ".join(f"WHEN {lit(d)} THEN {every('source_code', p)}" for d, p in P.BODY_STATEMENT.items()) + " END"
+    found = "CASE dialect " + " ".join(f"WHEN {lit(d)} THEN {every('safe', p)}" for d, p in P.BODY_STATEMENT.items()) + " END"
+    tail = P.FLAT_CALL.replace(P.MARK + r"\d+\x{F0101}", r"\([\s\S]*\)")
+    pieces = f"list_filter(str_split(safe, ';')[:-2], lambda x: {has(flat('x'), P.FLAT_CALL)})"
     cte(
         "body" + tag,
         ("units" + tag,),
@@ -325,12 +384,13 @@ SELECT unit_id, dialect, stmt_no - 1 AS stmt_no, sql,
 FROM (
   SELECT unit_id, dialect, len(f) AS nf, len(c) AS nc, unnest(f || c || d) AS sql, generate_subscripts(f || c || d, 1) AS stmt_no
   FROM (
-    SELECT unit_id, dialect, f, d, list_filter(c0, lambda x, i: list_position(c0, x) = i AND NOT list_contains(f, x)) AS c
+    SELECT unit_id, dialect, f, d, list_filter(c0, lambda x, i: list_position(c0, x) = i) AS c
     FROM (
-      SELECT unit_id, dialect, list_transform({found}, lambda x: {trim('x')}) AS f,
-             list_transform({every('source_code', P.BODY_CALL)}, lambda x: {trim('x')}) AS c0,
-             CASE WHEN dialect = 'Gauss' THEN list_transform({every('source_code', P.DYNAMIC_LITERAL, 1)}, lambda x: {trim("replace(x, chr(39) || chr(39), chr(39))")}) ELSE [] END AS d
-      FROM units{tag}
+      SELECT unit_id, dialect, list_transform({found}, lambda x: {trim(unshield('x'))}) AS f,
+             list_transform({pieces}, lambda x: {trim(unshield(f"regexp_extract(x, {rx(tail)}, 1)"))} || ';') AS c0,
+             CASE WHEN dialect <> 'Hive' THEN list_transform({every('safe', P.DYNAMIC_LITERAL, 1)},
+               lambda x: {trim(f"replace({unshield('substr(x, 2, length(x) - 2)')}, chr(39) || chr(39), chr(39))")}) ELSE [] END AS d
+      FROM (SELECT *, {shield('source_code')} AS safe FROM units{tag})
     )
   )
 )""",
@@ -359,25 +419,53 @@ _BLOCKS = f"coalesce(list_max(list_transform({every(S, P.ROLLBACK_BLOCK)}, lambd
 TRANSACTION_PEAK = f"CAST(greatest(1, CASE WHEN {PAIRS} > 0 THEN {PAIRS} ELSE {_BLOCKS} END) AS BIGINT)"
 
 
-def _called(dialect: str) -> str:
-    text = f"regexp_replace(upper({S}), {rx(P.INTO_NAME)}, ';', 'g')"
+def _wanted(dialect: str) -> str:
     words = listed(BUILTINS[dialect])
-    return f"""list_filter({every(text, P.ANY_CALL, 1)}, lambda x: {has('x', P.VALID_NAME)}
-      AND NOT list_contains({words}, x) AND NOT list_contains({words}, str_split(x, '.')[1]))"""
+    return f"{has('callee', P.VALID_NAME)} AND NOT list_contains({words}, callee) AND NOT list_contains({words}, str_split(callee, '.')[1])"
 
 
 def call_ctes(tag: str) -> None:
-    """calls<tag>: one row per call site, custom functions still included."""
+    """calls<tag>: one row per call site, custom functions still included.
+
+    Depth is a running sum over brackets, started anew by a semicolon. A comma and the
+    closing bracket belong to the last bracket opened on their level before them.
+    """
+    token = f"unnest({every(sub('safe', P.INTO_NAME, ' '), P.CALL_TOKEN)})"
+    opens, closes = "t LIKE '%('", "t = ')'"
     cte(
-        "calls" + tag,
+        "walk" + tag,
         ("units" + tag,),
         f"""
-SELECT unit_id, script_id, package_name, dialect, callee FROM (
-  SELECT unit_id, script_id, package_name, dialect, unit_name, unnest(CASE dialect WHEN 'Oracle' THEN {_called('Oracle')} WHEN 'Gauss' THEN {_called('Gauss')}
-    ELSE {every(f'upper({S})', P.HIVE_CALL, 1)} END) AS callee FROM units{tag}
-) WHERE {last('callee')} <> upper(unit_name)
+SELECT *, sum(CASE WHEN {opens} THEN 1 ELSE 0 END) OVER (PARTITION BY unit_id, block, level ORDER BY i) AS nth FROM (
+  SELECT *, CASE WHEN {closes} THEN inside + 1 ELSE inside END AS level FROM (
+    SELECT *, sum(CASE WHEN {opens} THEN 1 WHEN {closes} THEN -1 ELSE 0 END) OVER (PARTITION BY unit_id, block ORDER BY i) AS inside FROM (
+      SELECT *, sum(CASE WHEN t = ';' THEN 1 ELSE 0 END) OVER (PARTITION BY unit_id ORDER BY i) AS block FROM (
+        SELECT unit_id, t, row_number() OVER (PARTITION BY unit_id ORDER BY i) AS i FROM (
+          SELECT unit_id, {token} AS t, generate_subscripts({every(sub('safe', P.INTO_NAME, ' '), P.CALL_TOKEN)}, 1) AS i
+          FROM (SELECT unit_id, {shield(S)} AS safe FROM units{tag} WHERE dialect <> 'Hive'))))))""",
+    )
+    name = f"upper({named(f'regexp_extract(t, {rx(P.CALL_TOKEN_NAME)})')})"
+    cte(
+        "sites" + tag,
+        ("walk" + tag, "units" + tag),
+        f"""
+SELECT * FROM (
+  SELECT unit_id, script_id, package_name, dialect, unit_name, callee, CAST(args AS BIGINT) AS args, CAST(depth AS BIGINT) AS depth FROM (
+    SELECT unit_id, max({name}) FILTER ({opens}) AS callee, 1 + count(*) FILTER (t = ',') AS args, level AS depth
+    FROM walk{tag} WHERE level > 0 AND t <> ';' AND (t IN (',', ')') OR {opens}) GROUP BY unit_id, block, level, nth HAVING count(*) FILTER ({closes}) > 0
+    UNION ALL SELECT unit_id, {name}, 0, inside + 1 FROM walk{tag} WHERE t LIKE '%)' AND t <> ')'
+  ) JOIN units{tag} USING (unit_id) WHERE CASE dialect WHEN 'Oracle' THEN {_wanted('Oracle')} ELSE {_wanted('Gauss')} END
+  UNION ALL
+  SELECT unit_id, script_id, package_name, dialect, unit_name, unnest({every(f'upper({shield(S)})', P.HIVE_CALL, 1)}), NULL, NULL FROM units{tag} WHERE dialect = 'Hive'
+) WHERE {last('callee')} <> upper(unit_name)""",
+    )
+    cte(
+        "calls" + tag,
+        ("sites" + tag, "units" + tag),
+        f"""
+SELECT unit_id, script_id, package_name, dialect, callee, args FROM sites{tag}
 UNION ALL
-SELECT unit_id, script_id, package_name, dialect, 'EXECUTE_IMMEDIATE' FROM (
+SELECT unit_id, script_id, package_name, dialect, 'EXECUTE_IMMEDIATE', NULL FROM (
   SELECT *, unnest({every(S, P.EXECUTE_IMMEDIATE)}) FROM units{tag} WHERE dialect <> 'Hive')""",
     )
     cte(
@@ -387,25 +475,30 @@ SELECT unit_id, script_id, package_name, dialect, 'EXECUTE_IMMEDIATE' FROM (
 SELECT unit_id, script_id, package_name, callee, count(*) AS n FROM calls{tag}
 WHERE dialect = 'Hive' OR callee NOT IN (SELECT name FROM l_functions) GROUP BY ALL""",
     )
+    places = "coalesce(lower(package_name), '') AS to_package, lower(unit_name) AS to_name"
     cte(
         "resolved" + tag,
-        ("nested" + tag, "units" + tag),
+        ("calls" + tag, "l_functions", "units" + tag),
         f"""
-SELECT c.*, t.callee_id, t.callee_id IS NOT NULL AND c.to_package = c.own AND c.own <> '' AS is_internal
+SELECT c.* EXCLUDE (any_id, fit_id), coalesce(fit_id, any_id) AS callee_id, any_id IS NOT NULL AND to_package = own AND own <> '' AS is_internal
 FROM (
-  SELECT *, coalesce(lower(package_name), '') AS own, {last('lower(callee)')} AS to_name,
-         CASE WHEN contains(callee, '.') THEN list_extract(str_split(lower(callee), '.'), -2) ELSE coalesce(lower(package_name), '') END AS to_package
-  FROM nested{tag}
-) c LEFT JOIN (
-  SELECT coalesce(lower(package_name), '') AS to_package, lower(unit_name) AS to_name, min(unit_id) AS callee_id FROM units{tag} GROUP BY ALL
-) t USING (to_package, to_name)""",
+  SELECT c.*, (SELECT min(unit_id) FROM (SELECT unit_id, {places} FROM units{tag}) u WHERE u.to_package = c.to_package AND u.to_name = c.to_name) AS any_id,
+         (SELECT min(unit_id) FROM (SELECT unit_id, least_args, most_args, {places} FROM units{tag}) u
+          WHERE u.to_package = c.to_package AND u.to_name = c.to_name AND c.args BETWEEN u.least_args AND u.most_args) AS fit_id
+  FROM (
+    SELECT *, coalesce(lower(package_name), '') AS own, {last('lower(callee)')} AS to_name,
+           CASE WHEN contains(callee, '.') THEN list_extract(str_split(lower(callee), '.'), -2) ELSE coalesce(lower(package_name), '') END AS to_package
+    FROM (SELECT unit_id, script_id, package_name, callee, args, count(*) AS n FROM calls{tag}
+          WHERE dialect = 'Hive' OR callee NOT IN (SELECT name FROM l_functions) GROUP BY ALL)
+  ) c
+) c""",
     )
 
 
 for _tag in ("", "_pk", "_v1", "_v2"):
     call_ctes(_tag)
 
-FUNCTION_SITES = f"""flatten(list_transform({every(f'upper({S})', P.CALLED_NAME, 1)},
+FUNCTION_SITES = f"""flatten(list_transform(list_transform({every(shield(S), P.CALLED_NAME, 1)}, lambda n: upper({named('n')})),
   lambda c: list_transform(range(1, len(str_split(c, '.')) + 1), lambda i: array_to_string(str_split(c, '.')[i:], '.'))))"""
 
 
@@ -643,21 +736,20 @@ def _finals() -> dict[str, str]:
         "typed_b",
     )
 
-    ddl = "CASE parsed_type " + " ".join(f"WHEN {lit(k)} THEN lower({one('sql', p)})" for k, p in P.DDL_TARGET.items()) + " END"
+    ddl = "CASE parsed_type " + " ".join(f"WHEN {lit(k)} THEN lower({named(one(shield('sql'), p))})" for k, p in P.DDL_TARGET.items()) + " END"
     refs = f"""SELECT stmt_id, dialect, unnest(reads) AS table_name, 'read' AS role FROM named UNION ALL SELECT stmt_id, dialect, unnest(writes), 'write' FROM named
         UNION ALL SELECT stmt_id, dialect, unnest(dynamic_refs), 'dynamic' FROM named UNION ALL SELECT * FROM (SELECT stmt_id, dialect, {ddl} AS t, 'ddl' FROM named) WHERE t IS NOT NULL"""
     add("table_refs", refs, "named")
     add(
         "write_targets",
-        f"""SELECT stmt_id, dialect, parsed_type, list_filter({distinct('w')}, lambda x: NOT list_contains({listed(P.NOT_A_TABLE)}, x))[1] AS target,
-            CASE WHEN parsed_type = 'MERGE' THEN lower({one('sql', P.MERGE_SOURCE)}) END AS merge_source
-            FROM (SELECT *, {lower_all(every('sql', P.INSERT_TARGET, 1) + ' || ' + every('sql', P.UPDATE_TARGET, 1) + ' || ' + every('sql', P.DELETE_TARGET, 1))} AS w FROM typed)
-            WHERE parsed_type IN {values(P.DML_TYPES)}""",
-        "typed",
+        f"""SELECT n.stmt_id, n.dialect, n.parsed_type, n.writes[1] AS target,
+            CASE WHEN n.parsed_type = 'MERGE' THEN lower({named(one('t.outside', P.MERGE_SOURCE))}) END AS merge_source
+            FROM named n JOIN (SELECT DISTINCT sql, outside FROM typed) t USING (sql) WHERE n.parsed_type IN {values(P.DML_TYPES)}""",
+        "named", "typed",
     )
     edges = f"""SELECT source, target, count(*) AS n FROM (
         SELECT target, unnest(reads) AS source FROM (
-          SELECT reads, unnest(CASE WHEN parsed_type = 'CREATE' THEN [lower({one('sql', P.CREATE_TABLE)})] ELSE writes END) AS target
+          SELECT reads, unnest(CASE WHEN parsed_type = 'CREATE' THEN [lower({named(one(shield('sql'), P.CREATE_TABLE))})] ELSE writes END) AS target
           FROM named WHERE parsed_type IN ('INSERT', 'MERGE', 'CREATE'))) WHERE target IS NOT NULL GROUP BY 1, 2"""
     add("lineage_edges", edges, "named")
     add("lineage_depth", *_depth(f"SELECT DISTINCT target AS src, source AS dst FROM ({edges})", "table_name", "named"))
@@ -711,6 +803,7 @@ def _finals() -> dict[str, str]:
 
     add("custom_function_calls", "SELECT unit_id, name, n FROM function_calls", "function_calls")
     add("high_weight_tables", "SELECT unit_id, name, n FROM table_hits", "table_hits")
+    add("call_sites", "SELECT unit_id, callee, args, depth, count(*) AS n FROM sites GROUP BY ALL", "sites")
     add("nested_calls", "SELECT unit_id, callee, n FROM nested", "nested")
     add("high_weight_procedures", "SELECT unit_id, callee, n FROM procedure_hits", "procedure_hits")
 
@@ -730,7 +823,7 @@ def _finals() -> dict[str, str]:
            FROM scores WHERE package_name IS NOT NULL GROUP BY 1, 2""",
         "scores",
     )
-    head = f"str_split(regexp_replace(clean, {rx(P.UNIT_HEADER)}, chr(1), 'g'), chr(1))[1]"
+    head = f"str_split(regexp_replace(safe, {rx(P.UNIT_HEADER)}, chr(1), 'g'), chr(1))[1]"
     add(
         "package_features",
         f"""SELECT script_id, package_name, {count('clean', P.PACKAGE_MEMBER)} AS total_procedures, {has('clean', P.JAVA_UNIT)} AS contains_java,

@@ -91,6 +91,17 @@ FROM {t1}
 WHERE v > {n}
   AND note <> 'none'
 CLUSTER BY id""",
+    "{shape}",
+]
+SHAPES = [
+    'SELECT a.c1 FROM (SELECT id FROM {t1}) a, {t2} b, "Dim Region" r WHERE a.id = b.id AND r.k = {n}',
+    "WITH q(id) AS (SELECT id FROM {t1}) INSERT INTO {tgt} SELECT q.id FROM q JOIN {src} s ON s.id = q.id",
+    "INSERT ALL INTO {tgt} (c1) VALUES (c1) INTO log_t (c1) VALUES (c1) SELECT c1 FROM {src} WHERE c1 = {n}",
+    "FROM {src} s INSERT OVERWRITE TABLE {tgt} SELECT s.c1 WHERE s.c1 = {n} INSERT OVERWRITE TABLE log_t SELECT s.c2",
+    "INSERT OVERWRITE DIRECTORY 'out/{n}' SELECT c1 FROM {src}",
+    "SELECT EXTRACT(YEAR FROM a.d), TRIM(BOTH ' ' FROM a.c1) FROM {t1} a WHERE a.c1 IS DISTINCT FROM a.c2",
+    "UPDATE ONLY {t1} AS g SET v = {n} FROM {t2} WHERE g.note = 'from x, y; join z'",
+    "SELECT `Odd Name`.c1 FROM `Odd Name` JOIN ({t1} x JOIN {t2} y ON x.id = y.id) ON 1 = {n}",
 ]
 DDL = [
     "CREATE TABLE IF NOT EXISTS {tgt} AS SELECT c1, c2 FROM {src} WHERE c1 = {n}",
@@ -135,8 +146,9 @@ def _statement_text() -> str:
         "ddl": "(" + choose("l_suppkey % 8", DDL, **_LINE_VALUES) + ")",
         "call": "(" + choose("l_suppkey % 6", CALLS, **_LINE_VALUES) + ")",
         "bad": "(" + choose("l_partkey % 7", BAD, **_LINE_VALUES) + ")",
+        "shape": "(" + choose("l_partkey % 8", SHAPES, **_LINE_VALUES) + ")",
     }
-    return choose("(l_orderkey * 7 + l_linenumber) % 16", STATEMENTS, **_LINE_VALUES, **inner)
+    return choose("(l_orderkey * 7 + l_linenumber) % 17", STATEMENTS, **_LINE_VALUES, **inner)
 
 
 CORPUS_STATEMENTS = f"""
@@ -269,6 +281,17 @@ CREATE TEMPORARY FUNCTION fn_{f} AS 'app.udf.Fn{f}';
 CREATE FUNCTION {name} AS 'app.udf.Main' USING JAR 'x.jar';
 INSERT OVERWRITE TABLE {tgt} SELECT fn_{f}(v), COUNT(*) FROM {src} GROUP BY v;
 SELECT k FROM {t2} LATERAL VIEW explode(tags) x AS k SORT BY k;""",
+    """
+CREATE OR REPLACE PROCEDURE "Proc {k}"(p_id NUMBER, p_sep VARCHAR2(5) DEFAULT '; ') IS
+  v VARCHAR2(50) := 'PROCEDURE fake(x) IS; ';
+BEGIN
+  {proc}(outer_{k}(inner_{f}(p_id, fn_{f}(1)), 'a, b'), (p_id + 1) * 2);
+  v := calc_{f}(p_id);
+  IF p_id > 0 THEN
+    tidy_{f}(v);
+  END IF;
+  SELECT "Odd Col" INTO v FROM "Odd Table" WHERE note = 'x; DELETE FROM nowhere;' AND id = p_id;
+END;""",
     """{blank}""",
 ]
 
@@ -300,7 +323,7 @@ SELECT 'o' || {_text('o_orderkey')} AS script_id,
             WHEN o_custkey % 3 = 1 THEN 'Gauss' ELSE 'Hive' END AS dialect,
        CASE WHEN o_orderkey % 5 = 1 THEN NULL ELSE 'sch_' || {_text('o_custkey % 4')} END AS schema_name,
        CAST(o_orderdate AS TIMESTAMP) AS ts,
-       {choose('o_orderkey % 12', PROCEDURES, **values)} AS src
+       {choose('o_orderkey % 13', PROCEDURES, **values)} AS src
 FROM orders
 """
 
@@ -318,6 +341,7 @@ CREATE OR REPLACE PACKAGE BODY pkg_{k} AS
   BEGIN
     SELECT COUNT(*) INTO g_count FROM {t1} WHERE id = p_id;
     p_{k}_2(p_id);
+    p_{k}_4(p_id);
     {outer}
     ext_audit.write_{n}(p_id);
   END p_{k}_1;
@@ -352,6 +376,11 @@ PACKAGE_FOURTH = """
   BEGIN
     DELETE FROM never_reached;
   END;
+
+  PROCEDURE p_{k}_4(p_id NUMBER, p_sep VARCHAR2(5) DEFAULT ';') IS
+  BEGIN
+    DELETE FROM s.reached WHERE id = p_id;
+  END;
 """
 
 
