@@ -31,6 +31,11 @@ def _inside(token: Column, first: int, last: int) -> Column:
     return F.concat(F.substring(token, F.lit(1), F.lit(first)), inner, F.substring(token, size - last + 1, F.lit(last)))
 
 
+def _has_stand_in(text: Column) -> Column:
+    """Stand-ins take several bytes, so a text of as many bytes as characters has none; no pattern has to be tried."""
+    return F.octet_length(text) > F.length(text)
+
+
 def _shielded(token: Column) -> Column:
     quoted = F.length(token) > 1
     return (
@@ -50,7 +55,8 @@ def _shield(text: Column) -> Column:
     tokens = F.when(text.contains("$$") & ~text.rlike(P.DOLLAR_BODY), all_matches(text, P.QUOTED_OR_PLAIN_DOLLAR)).otherwise(
         all_matches(text, P.QUOTED_OR_PLAIN)
     )
-    return F.when(text.rlike(P.ANY_QUOTE), F.array_join(F.transform(tokens, _shielded), "")).otherwise(text)
+    quotes = text.contains("'") | text.contains('"') | text.contains("`") | text.contains("$$")
+    return F.when(quotes, F.array_join(F.transform(tokens, _shielded), "")).otherwise(text)
 
 
 def unshield(text: Column) -> Column:
@@ -58,12 +64,12 @@ def unshield(text: Column) -> Column:
 
 
 def _unshield(text: Column) -> Column:
-    return F.when(text.rlike(P.STAND_IN), F.translate(text, STAND_INS, PLAIN)).otherwise(text)
+    return F.when(_has_stand_in(text), F.translate(text, STAND_INS, PLAIN)).otherwise(text)
 
 
 def plain_name(name: Column) -> Column:
     """A name as it is meant: stand-ins brought back, its quotes left out."""
-    return F.when(name.rlike(P.STAND_IN), F.regexp_replace(F.translate(name, STAND_INS, PLAIN), P.NAME_QUOTES, "")).otherwise(name)
+    return F.when(_has_stand_in(name), F.regexp_replace(F.translate(name, STAND_INS, PLAIN), P.NAME_QUOTES, "")).otherwise(name)
 
 
 def scopes(safe: Column) -> Column:
@@ -89,9 +95,11 @@ def scopes(safe: Column) -> Column:
 
     def peeled(text: Column) -> Column:
         start = F.struct(text.alias("text"), F.array().cast("array<string>").alias("parts"))
-        levels = peak_level(F.transform(all_matches(text, P.BRACKET), lambda b: F.when(b == "(", 1).otherwise(-1)))
+        opened = F.length(text) - F.length(F.replace(text, F.lit("("), F.lit("")))
+        deepest = peak_level(F.transform(all_matches(text, P.BRACKET), lambda b: F.when(b == "(", 1).otherwise(-1)))
+        levels = F.when(opened > 2, deepest).otherwise(opened)
         done = F.aggregate(F.sequence(F.lit(1), levels.cast("int")), start, peel, lambda s: F.array_append(s["parts"], s["text"]))
-        return F.when(text.contains("("), done).otherwise(F.array(text))
+        return F.when(opened > 0, done).otherwise(F.array(text))
 
     return bind(safe, peeled)
 

@@ -44,7 +44,9 @@ WHOLE_MARK = MARK + r"\d+\x{F0101}"
 FIRST_BRACKET = r"^\s*" + CHILD
 VISIBLE = r"\S"
 HAS_DEFAULT = r"(?i)\bDEFAULT\b|:="
-CALL_TOKEN = NAME_CHAR + r"++\s*+\(\s*+\)|" + NAME_CHAR + r"++\s*+\(|\(\s*+\)|[(),;]"
+# names are tried at their first character only
+_NAME = r"(?:\b[\w.]|" + STAND_IN + ")" + NAME_CHAR + "*+"
+CALL_TOKEN = _NAME + r"\s*+\((?:\s*+\))?|\(\s*+\)|[(),;]"
 CALL_TOKEN_NAME = "^" + NAME_CHAR + "+"
 
 # --- statements inside a body ----------------------------------------------
@@ -101,7 +103,7 @@ NAME_OR_CALL = "(" + NAME_CHAR + r"+\s*" + MARK + "?)"
 NO_SOURCE = r"(?i)\b(?:DELETE|DISTINCT)\s+FROM\b"
 NO_TABLE_TARGET = r"(?i)\bOVERWRITE\s+(?:LOCAL\s+)?DIRECTORY\b"
 FROM_CLAUSE = (
-    r"(?i)\bFROM\s+([\s\S]*?)(?:\b(?:WHERE|GROUP|ORDER|HAVING|UNION|INTERSECT|MINUS|EXCEPT|CONNECT\s+BY|START\s+WITH|LIMIT|FETCH"
+    r"(?is)\bFROM\s+(.*?)(?:\b(?:WHERE|GROUP|ORDER|HAVING|UNION|INTERSECT|MINUS|EXCEPT|CONNECT\s+BY|START\s+WITH|LIMIT|FETCH"
     r"|FOR\s+UPDATE|WINDOW|LATERAL\s+VIEW|SELECT|INSERT|SET|CLUSTER\s+BY|DISTRIBUTE\s+BY|SORT\s+BY|RETURNING|LOOP)\b|;|\z)"
 )
 FROM_ITEM_END = r"(?i),|\bJOIN\b"
@@ -197,7 +199,7 @@ JAVA_UNIT = r"(?i)\bLANGUAGE\s+JAVA\b"
 JAVA_TYPE = r"(?i)\b(oracle\.sql|java\.lang)\.[A-Za-z]+\b"
 
 # --- names used in calls ---------------------------------------------------
-CALLED_NAME = r"(" + NAME_CHAR + r"++)\s*+\("
+CALLED_NAME = "(" + _NAME + r")\s*+\("
 INTO_NAME = r"(?i)\bINTO\s+" + NAME_CHAR + "+"
 VALID_NAME = r"^[A-Z][A-Z0-9_]*+(?:\.[A-Z][A-Z0-9_]*+)*+$"
 HIVE_CALL = r"(?i)\bCALL\s+([\w.]+)"

@@ -35,16 +35,16 @@ def name_flags(functions: DataFrame, tables: DataFrame, procedures: DataFrame) -
     return merged.groupBy("name").agg(*[F.bool_or(c).alias(c) for c in ("is_function", "is_table", "is_procedure")])
 
 
-def called_suffixes(source: Column) -> Column:
-    """Upper-case dotted suffixes of every name in front of a parenthesis, once per call site."""
-    called = T.all_matches(L.shield(source), P.CALLED_NAME, 1)
+def called_suffixes(safe: Column) -> Column:
+    """Upper-case dotted suffixes of every name in front of a parenthesis of a shielded text, once per call site."""
+    called = T.all_matches(safe, P.CALLED_NAME, 1)
     return F.flatten(F.transform(called, lambda name: T.suffixes(F.upper(L.plain_name(name)))))
 
 
-def call_sites(source: Column, dialect: Column, unit_name: Column) -> Column:
+def call_sites(safe: Column, dialect: Column, unit_name: Column) -> Column:
     """Calls of procedures as structs (name, args, depth) with upper-case names, without built-ins and self calls.
 
-    A call counts wherever it stands, also among another call's arguments. Hive
+    ``safe`` is a unit's shielded text. A call counts wherever it stands, also among another call's arguments. Hive
     knows only CALL, whose arguments are not looked at.
     """
 
@@ -52,33 +52,35 @@ def call_sites(source: Column, dialect: Column, unit_name: Column) -> Column:
         builtin = f"^(?:{'|'.join(builtins)})(?:[.]|$)"
         return F.filter(found, lambda call: call["name"].rlike(P.VALID_NAME) & ~call["name"].rlike(builtin))
 
-    def of(safe: Column) -> Column:
-        walked = F.transform(
-            L.calls(F.regexp_replace(safe, P.INTO_NAME, " ")), lambda call: call.withField("name", F.upper(L.plain_name(call["name"])))
-        )
-        unknown = F.lit(None).cast("bigint")
-        stated = F.transform(
-            T.all_matches(F.upper(safe), P.HIVE_CALL, 1), lambda name: F.struct(name.alias("name"), unknown.alias("args"), unknown.alias("depth"))
-        )
-        return T.by_dialect(
-            dialect,
-            {P.ORACLE: without_builtins(walked, BUILTINS[P.ORACLE]), P.GAUSS: without_builtins(walked, BUILTINS[P.GAUSS]), P.HIVE: stated},
-        )
-
-    found = T.bind(L.shield(source), of)
+    walked = F.transform(
+        L.calls(F.regexp_replace(safe, P.INTO_NAME, " ")), lambda call: call.withField("name", F.upper(L.plain_name(call["name"])))
+    )
+    unknown = F.lit(None).cast("bigint")
+    stated = F.transform(
+        T.all_matches(F.upper(safe), P.HIVE_CALL, 1), lambda name: F.struct(name.alias("name"), unknown.alias("args"), unknown.alias("depth"))
+    )
+    procedural = T.bind(
+        F.when(dialect != P.HIVE, walked),
+        lambda calls: T.by_dialect(dialect, {d: without_builtins(calls, BUILTINS[d]) for d in (P.ORACLE, P.GAUSS)}),
+    )
+    found = F.when(dialect == P.HIVE, stated).otherwise(procedural)
     return F.filter(found, lambda call: T.last_segment(call["name"]) != F.upper(unit_name))
 
 
-def called(source: Column, dialect: Column, unit_name: Column) -> Column:
+def called(safe: Column, source: Column, dialect: Column, unit_name: Column) -> Column:
     """Calls as structs (name, args), and one of unknown arguments per EXECUTE IMMEDIATE."""
     dynamic = F.when(dialect == P.HIVE, 0).otherwise(F.regexp_count(source, F.lit(P.EXECUTE_IMMEDIATE)))
-    others = F.transform(call_sites(source, dialect, unit_name), lambda call: F.struct(call["name"].alias("name"), call["args"].alias("args")))
+    others = F.transform(call_sites(safe, dialect, unit_name), lambda call: F.struct(call["name"].alias("name"), call["args"].alias("args")))
     return F.concat(others, F.array_repeat(F.struct(F.lit(EXECUTE_IMMEDIATE).alias("name"), F.lit(None).cast("bigint").alias("args")), dynamic))
 
 
-def called_names(source: Column, dialect: Column, unit_name: Column) -> Column:
+def called_names(safe: Column, source: Column, dialect: Column, unit_name: Column) -> Column:
     """Upper-case names of called procedures, one entry per call."""
-    return F.transform(called(source, dialect, unit_name), lambda call: call["name"])
+    return F.transform(called(safe, source, dialect, unit_name), lambda call: call["name"])
+
+
+def _with_safe(units: DataFrame, *columns: str) -> DataFrame:
+    return T.settle(units.select(*columns, "source_code"), {"safe": L.shield(F.col("source_code"))})
 
 
 def table_segments(names: Column) -> Column:
@@ -88,7 +90,7 @@ def table_segments(names: Column) -> Column:
 
 
 def custom_function_calls(units: DataFrame, functions: DataFrame) -> DataFrame:
-    called = units.select("unit_id", F.explode(called_suffixes(F.col("source_code"))).alias("name"))
+    called = _with_safe(units, "unit_id").select("unit_id", F.explode(called_suffixes(F.col("safe"))).alias("name"))
     return called.join(clean_list(functions), "name").groupBy("unit_id", "name").agg(F.count("*").alias("n"))
 
 
@@ -106,7 +108,8 @@ def nested_calls(units: DataFrame, functions: DataFrame, keys: tuple[str, ...] =
     shuffle and the join with the list sees each callee once per unit.
     """
     what = ("callee", "args") if by_args else ("callee",)
-    found = units.select(*keys, "dialect", F.explode(called(F.col("source_code"), F.col("dialect"), F.col("unit_name"))).alias("call"))
+    calls = called(F.col("safe"), F.col("source_code"), F.col("dialect"), F.col("unit_name"))
+    found = _with_safe(units, *keys, "dialect", "unit_name").select(*keys, "dialect", F.explode(calls).alias("call"))
     listed = clean_list(functions).select(F.col("name").alias("callee"), F.lit(True).alias("listed"))
     return (
         found.select(*keys, "dialect", F.col("call.name").alias("callee"), F.col("call.args").alias("args"))
@@ -120,7 +123,8 @@ def nested_calls(units: DataFrame, functions: DataFrame, keys: tuple[str, ...] =
 
 def call_table(units: DataFrame) -> DataFrame:
     """(unit_id, callee, args, depth, n): every call with its number of arguments and how many brackets stand around it."""
-    found = units.select("unit_id", F.explode(call_sites(F.col("source_code"), F.col("dialect"), F.col("unit_name"))).alias("call"))
+    calls = call_sites(F.col("safe"), F.col("dialect"), F.col("unit_name"))
+    found = _with_safe(units, "unit_id", "dialect", "unit_name").select("unit_id", F.explode(calls).alias("call"))
     return found.groupBy("unit_id", F.col("call.name").alias("callee"), F.col("call.args").alias("args"), F.col("call.depth").alias("depth")).agg(F.count("*").alias("n"))
 
 

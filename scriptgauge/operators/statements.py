@@ -55,29 +55,27 @@ def _tagged(texts: Column, origin: str) -> Column:
     return F.transform(texts, lambda s: F.struct(F.lit(origin).alias("origin"), s.alias("sql")))
 
 
-def statement_structs(source: Column, dialect: Column) -> Column:
-    """All statements of a unit: SQL, then each different call, then dynamic literals.
+def statement_structs(safe: Column, dialect: Column) -> Column:
+    """All statements of a unit's shielded text: SQL, then each different call, then dynamic literals.
 
     They are found in the shielded text, so the text of a literal is a statement
     once at most. All happens inside the row: no shuffle is needed and the same
     expression works on a stream.
     """
-    return T.bind(
-        L.shield(source),
-        lambda safe: F.concat(
-            _tagged(body_statements(safe, dialect), SQL),
-            _tagged(F.array_distinct(body_calls(safe)), CALL),
-            _tagged(dynamic_literals(safe, dialect), DYNAMIC),
-        ),
+    return F.concat(
+        _tagged(body_statements(safe, dialect), SQL),
+        _tagged(F.array_distinct(body_calls(safe)), CALL),
+        _tagged(dynamic_literals(safe, dialect), DYNAMIC),
     )
 
 
 def extract_statements(units: DataFrame) -> DataFrame:
     """One row per statement; the unit's own text is left behind."""
-    return units.select(
+    safe = T.settle(units.select("unit_id", "dialect", "source_code"), {"safe": L.shield(F.col("source_code"))})
+    return safe.select(
         "unit_id",
         "dialect",
-        F.posexplode(statement_structs(F.col("source_code"), F.col("dialect"))).alias("stmt_no", "s"),
+        F.posexplode(statement_structs(F.col("safe"), F.col("dialect"))).alias("stmt_no", "s"),
     ).select("unit_id", "dialect", F.col("stmt_no").cast("bigint").alias("stmt_no"), "s.origin", "s.sql")
 
 
@@ -85,18 +83,20 @@ def is_dynamic(sql: Column) -> Column:
     return sql.contains("||") & sql.rlike(P.CONCATENATION)
 
 
-def main_verb(sql: Column, pattern: str) -> Column:
-    """The first verb outside all brackets, SELECT if there is none."""
-    outside = F.element_at(L.scopes(L.shield(sql)), -1)
-    return F.coalesce(F.upper(T.first_match(outside, pattern)), F.lit("SELECT"))
+def main_verb(sql: Column, starts_with: Column) -> Column:
+    """The first verb outside all brackets, SELECT if there is none; after FROM only INSERT counts."""
+
+    def of(outside: Column) -> Column:
+        return F.when(starts_with == "WITH", T.first_match(outside, P.FIRST_DML)).otherwise(T.first_match(outside, P.MULTI_INSERT))
+
+    return F.coalesce(F.upper(T.bind(F.element_at(L.scopes(L.shield(sql)), -1), of)), F.lit("SELECT"))
 
 
 def keyword_type(sql: Column, dialect: Column) -> Column:
     return T.bind(
         F.upper(F.regexp_extract(sql, P.FIRST_WORD, 1)),
         lambda word: F.when(word == "SELECT", "SELECT")
-        .when(word == "WITH", main_verb(sql, P.FIRST_DML))
-        .when((dialect == P.HIVE) & (word == "FROM"), main_verb(sql, P.MULTI_INSERT))
+        .when((word == "WITH") | ((dialect == P.HIVE) & (word == "FROM")), main_verb(sql, word))
         .when(word.isin(*P.SIMPLE_TYPES), word)
         .when(sql.rlike(P.TRANSACTION_WORD), F.upper(F.regexp_extract(sql, P.TRANSACTION_WORD, 1)))
         .when(sql.rlike(P.LEADING_CALL), "CALL")

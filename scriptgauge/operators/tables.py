@@ -36,24 +36,25 @@ def _names(found: Column) -> Column:
 
 def _outermost_first(parts: Column, body) -> Column:
     """``body(part, index, is_outermost)`` of every part."""
-    order = F.concat(F.array(F.size(parts) - 1), F.sequence(F.lit(0), F.size(parts) - 2))
-    order = F.when(F.size(parts) > 1, order).otherwise(F.array(F.lit(0)))
-    return F.transform(order, lambda i: body(F.get(parts, i), i, i == F.size(parts) - 1))
+    last = F.size(parts) - 1
+    order = F.when(last > 0, F.concat(F.array(last), F.sequence(F.lit(0), last - 1))).otherwise(F.array(F.lit(0)))
+    return F.transform(order, lambda i: T.bind(F.get(parts, i), lambda part: body(part, i, i == last)))
 
 
 def _part_sources(part: Column, outermost: Column, kind: Column) -> Column:
-    """Names after FROM, in whole lists, and after JOIN; the outermost part of a MERGE adds USING."""
-    text = F.when(part.rlike(P.NO_SOURCE), F.regexp_replace(part, P.NO_SOURCE, " ")).otherwise(part)
-    is_query = outermost | part.rlike(P.QUERY_PART)
-    joins = F.upper(part).contains("JOIN")
+    """Names after FROM, in whole lists, and after JOIN; the outermost part of a MERGE adds USING. Raw: see ``_names``."""
 
-    def items(clauses: Column) -> Column:
-        return F.transform(F.flatten(F.transform(clauses, lambda c: F.split(c, P.FROM_ITEM_END))), lambda i: F.regexp_extract(i, P.FROM_ITEM, 1))
+    def of(upper: Column) -> Column:
+        joins, is_merge = upper.contains("JOIN"), outermost & (kind == "MERGE")
+        text = F.when(part.rlike(P.NO_SOURCE), F.regexp_replace(part, P.NO_SOURCE, " ")).otherwise(part)
+        clauses = F.when(outermost | part.rlike(P.QUERY_PART), F.array_join(T.all_matches(text, P.FROM_CLAUSE, 1), ",")).when(joins, part)
+        items = F.transform(F.split(clauses, P.FROM_ITEM_END), lambda item: F.regexp_extract(item, P.FROM_ITEM, 1))
+        joined = F.when(joins, T.all_matches(part, P.JOIN_ITEM, 1))
+        using = F.when(is_merge, T.all_matches(part, P.USING_ITEM, 1))
+        found = F.concat(*[F.coalesce(names, _none()) for names in (items, joined, using)])
+        return F.when(joins | is_merge | upper.contains("FROM"), found).otherwise(_none())
 
-    clauses = F.when(is_query, T.all_matches(text, P.FROM_CLAUSE, 1)).when(joins, F.array(part)).otherwise(_none())
-    joined = F.when(joins, T.all_matches(part, P.JOIN_ITEM, 1)).otherwise(_none())
-    using = F.when(outermost & (kind == "MERGE"), T.all_matches(part, P.USING_ITEM, 1)).otherwise(_none())
-    return _names(F.concat(items(clauses), joined, using))
+    return T.bind(F.upper(part), of)
 
 
 def _hidden_names(parts: Column) -> Column:
@@ -78,12 +79,18 @@ def _hidden_names(parts: Column) -> Column:
 def read_names(parts: Column, kind: Column) -> Column:
     """Distinct lower-case names that the parts read, the outermost part's first, without the names that hide them."""
 
+    hides = F.exists(parts, lambda part: part.rlike(P.CTE_MARK))
+
     def seen(hidden: Column) -> Column:
-        return _outermost_first(parts, lambda part, i, outermost: F.array_except(_part_sources(part, outermost, kind), F.get(hidden, i)))
+        def of(part: Column, i: Column, outermost: Column) -> Column:
+            return T.bind(
+                _part_sources(part, outermost, kind),
+                lambda found: F.when(F.size(hidden) > 0, F.array_except(_names(found), F.get(hidden, i))).otherwise(found),
+            )
+
+        return _names(F.flatten(_outermost_first(parts, of)))
 
-    plain = _outermost_first(parts, lambda part, i, outermost: _part_sources(part, outermost, kind))
-    has_with = F.exists(parts, lambda part: part.rlike(P.CTE_MARK))
-    return F.array_distinct(F.flatten(F.when(has_with, T.bind(_hidden_names(parts), seen)).otherwise(plain)))
+    return T.bind(F.when(hides, _hidden_names(parts)).otherwise(F.array().cast("array<array<string>>")), seen)
 
 
 def write_names(parts: Column) -> Column:
@@ -218,10 +225,10 @@ def dynamic_table_refs(statements: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def unit_refs(source: Column, dialect: Column) -> Column:
-    """Tables of all statements of a unit, from its text, inside the row."""
+def unit_refs(safe: Column, dialect: Column) -> Column:
+    """Tables of all statements of a unit, from its shielded text, inside the row."""
     typed = F.transform(
-        statement_structs(source, dialect),
+        statement_structs(safe, dialect),
         lambda s: F.struct(s["sql"].alias("sql"), type_of(s["sql"], dialect, s["origin"]).alias("kind")),
     )
     cut = F.transform(typed, lambda s: s.withField("parts", named_parts(s["sql"], s["kind"])))
@@ -230,7 +237,8 @@ def unit_refs(source: Column, dialect: Column) -> Column:
 
 def unit_tables(units: DataFrame) -> DataFrame:
     """Distinct tables of a unit, case-insensitive, as one sorted list. No shuffle."""
-    found = T.settle(units.select("unit_id", "dialect", "source_code"), {"refs": unit_refs(F.col("source_code"), F.col("dialect"))})
+    safe = T.settle(units.select("unit_id", "dialect", "source_code"), {"safe": L.shield(F.col("source_code"))})
+    found = T.settle(safe, {"refs": unit_refs(F.col("safe"), F.col("dialect"))})
     return found.filter(F.size("refs") > 0).select(
         "unit_id", F.size("refs").cast("bigint").alias("table_count"), T.joined(F.col("refs")).alias("table_list")
     )
@@ -239,6 +247,8 @@ def unit_tables(units: DataFrame) -> DataFrame:
 def type_declaration_tables(units: DataFrame) -> DataFrame:
     """Tables a unit names only in ``table.column%TYPE`` declarations: an anti join inside the row."""
     source = F.col("source_code")
+    declaring = units.filter(F.upper(source).contains("%TYPE")).select("unit_id", "dialect", "source_code")
+    safe = T.settle(declaring, {"safe": L.shield(source)})
     declared = _lowered(T.all_matches(source, P.TYPE_DECLARATION, 1))
-    only = F.array_except(declared, unit_refs(source, F.col("dialect")))
-    return units.filter(F.upper(source).contains("%TYPE")).select("unit_id", F.explode(only).alias("table_name"))
+    only = F.array_except(declared, unit_refs(F.col("safe"), F.col("dialect")))
+    return safe.select("unit_id", F.explode(only).alias("table_name"))

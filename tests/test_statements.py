@@ -50,7 +50,7 @@ TYPES = [
     ("Gauss", "INSERT tab VALUES (1, 'x')", ("INSERT", "missing_into")),
     ("Hive", "INSERT OVERWRITE TABLE a SELECT * FROM b", ("INSERT", None)),
     ("Hive", "LOAD DATA INPATH 'x' TABLE a", ("LOAD", "missing_into_table")),
-    ("Oracle", "LOAD DATA INPATH 'x' TABLE a", ("UNKNOWN", None)),
+    ("Oracle", "LOAD DATA INPATH 'x' TABLE a", ("UNKNOWN", "unrecognised")),
     ("Oracle", "UPDATE t WHERE id = 1", ("UPDATE", "missing_set")),
     ("Oracle", "'SELECT 1 FROM t '||v", ("DYNAMIC_SQL", None)),
     ("Gauss", "pkg.run(1, 'a');", ("CALL", None)),
