@@ -97,22 +97,29 @@ def chunk_rows(scripts: DataFrame) -> DataFrame:
 
 
 def dropped_parts(scripts: DataFrame) -> DataFrame:
-    """What splitting leaves out of a script, with the reason: declarations, and text before the first header."""
+    """What splitting leaves out of a script, with the reason: declarations without a body."""
     base = header_chunks(scripts.filter(F.col("dialect").isin(P.ORACLE, P.GAUSS) & ~T.is_blank(F.col("src"))))
     declared = F.transform(
         F.filter("chunks", lambda part: ~part.rlike(P.UNIT_WITH_BODY)),
         lambda part: F.struct(F.lit("declaration without a body").alias("reason"), L.unshield(part).alias("text")),
     )
-    first = F.get(F.split("safe", P.UNIT_SPLIT), F.lit(0))
-    before = T.trimmed(L.unshield(F.regexp_replace(first, P.DANGLING_CREATE, "")))
-    outside = F.when(
-        F.col("package_name").isNull() & F.col("safe").rlike(P.UNIT_HEADER) & ~first.rlike(P.UNIT_START) & (F.length(before) > 0),
-        F.array(F.struct(F.lit("text before the first header").alias("reason"), before.alias("text"))),
-    ).otherwise(F.filter(declared, lambda part: F.lit(False)))
-    parts = base.select("script_id", "dialect", F.explode(F.concat(declared, outside)).alias("p"))
+    parts = base.select("script_id", "dialect", F.explode(declared).alias("p"))
     return parts.select("script_id", "dialect", "p.reason", F.length("p.text").cast("bigint").alias("chars"), F.md5("p.text").alias("text_hash"))
 
 
+def _text_before_units(arguments: F.Column, nothing: F.Column) -> F.Column:
+    """Statements before the first header are a unit too, at position 0; a package's own declarations are not."""
+    first = F.get(F.split("safe", P.UNIT_SPLIT), F.lit(0))
+
+    def of(text: F.Column) -> F.Column:
+        # a file is often named like its procedure, so the key gets a number of its own
+        unit = _unit(F.concat("base_name", F.lit("#0")), F.lit(0), F.lit("SCRIPT"), F.col("base_name"), text, arguments)
+        return F.when(F.length(text) > 0, F.array(unit)).otherwise(nothing)
+
+    before = T.bind(T.trimmed(L.unshield(F.regexp_replace(first, P.DANGLING_CREATE, ""))), of)
+    return F.when(F.col("package_name").isNull() & ~first.rlike(P.UNIT_START), before).otherwise(nothing)
+
+
 def split_units(scripts: DataFrame) -> DataFrame:
     """One row per unit of every script with a known dialect.
 
@@ -120,7 +127,7 @@ def split_units(scripts: DataFrame) -> DataFrame:
     Oracle keeps every definition (an overload's key ends in ``#`` and its number),
     the others the first. A text without any header is one unit, and so is a Hive
     script, unless it defines functions. All steps run inside the row, so the texts
-    are never shuffled.
+    are never shuffled. Text before the first header is a unit as well.
     """
     base = header_chunks(scripts.filter(F.col("dialect").isin(*P.DIALECTS)))
     bodies = F.filter("chunks", lambda part: part.rlike(P.UNIT_WITH_BODY))
@@ -141,7 +148,7 @@ def split_units(scripts: DataFrame) -> DataFrame:
         F.when(T.is_blank(F.col("clean")), nothing)
         .when(is_hive & F.col("safe").rlike(P.HIVE_UDF), _of_each_name(udfs, F.lit(False)))
         .when(is_hive | ~F.col("safe").rlike(P.UNIT_HEADER), whole)
-        .otherwise(named)
+        .otherwise(F.concat(_text_before_units(unknown, nothing), named))
     )
     return (
         base.select(*SCRIPT_KEYS, F.explode(units).alias("u"))

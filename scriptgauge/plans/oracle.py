@@ -211,7 +211,7 @@ FROM (
     known = f"dialect IN {values(P.DIALECTS)} AND {trim('clean')} <> ''"
     cte(
         "units" + tag,
-        ("clean" + tag, "chunks" + tag),
+        ("clean" + tag, "chunks" + tag, "before_units" + tag),
         f"""
 SELECT u.script_id || ':' || u.key AS unit_id, u.*, c.path, c.schema_name, c.ts, c.package_name,
        concat_ws('.', c.package_name, u.unit_name) AS qualified_name
@@ -222,6 +222,9 @@ FROM (
     FROM (SELECT * EXCLUDE (pos), row_number() OVER (PARTITION BY script_id ORDER BY pos) AS pos
           FROM chunks{tag} WHERE has_body AND dialect IN ('Oracle', 'Gauss'))
     UNION ALL
+    SELECT script_id, dialect, lower(base_name) || '#0', 'SCRIPT', base_name, 0, part, NULL, NULL, 1
+    FROM before_units{tag} JOIN (SELECT script_id, base_name FROM clean{tag}) USING (script_id) WHERE part <> '' AND dialect IN ('Oracle', 'Gauss')
+    UNION ALL
     SELECT script_id, 'Hive', lower(name), 'UDF', name, pos, {trim(unshield('part'))}, NULL, NULL, row_number() OVER (PARTITION BY script_id, lower(name) ORDER BY pos)
     FROM (SELECT script_id, part, pos, {named(one('part', P.HIVE_UDF_NAME))} AS name
           FROM (SELECT script_id, unnest(found) AS part, generate_subscripts(found, 1) AS pos
@@ -711,9 +714,8 @@ def _finals() -> dict[str, str]:
         "dropped_parts",
         """SELECT script_id, dialect, reason, length(t) AS chars, md5(t) AS text_hash FROM (
              SELECT script_id, dialect, 'declaration without a body' AS reason, text AS t FROM chunks WHERE NOT has_body
-             UNION ALL SELECT script_id, dialect, 'text before the first header', part FROM before_units WHERE part <> '')
-           WHERE dialect IN ('Oracle', 'Gauss')""",
-        "chunks", "before_units",
+           ) WHERE dialect IN ('Oracle', 'Gauss')""",
+        "chunks",
     )
     add(
         "dedupe_units",

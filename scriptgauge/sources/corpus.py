@@ -282,6 +282,7 @@ CREATE FUNCTION {name} AS 'app.udf.Main' USING JAR 'x.jar';
 INSERT OVERWRITE TABLE {tgt} SELECT fn_{f}(v), COUNT(*) FROM {src} GROUP BY v;
 SELECT k FROM {t2} LATERAL VIEW explode(tags) x AS k SORT BY k;""",
     """
+UPDATE {t1} SET v = 0 WHERE note = 'PROCEDURE none(x) IS;';
 CREATE OR REPLACE PROCEDURE "Proc {k}"(p_id NUMBER, p_sep VARCHAR2(5) DEFAULT '; ') IS
   v VARCHAR2(50) := 'PROCEDURE fake(x) IS; ';
 BEGIN

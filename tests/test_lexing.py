@@ -174,3 +174,11 @@ def test_unknown_statements_have_a_reason(spark):
     frame = spark.createDataFrame([("1", "Oracle", "frobnicate the table"), ("2", "Hive", "SELECT 1 FROM t")], "stmt_id string, dialect string, sql string")
     found = {r.stmt_id: (r.type, r.fail_reason) for r in statements.classify(statements.prepare(frame)).collect()}
     assert found == {"1": ("UNKNOWN", "unrecognised"), "2": ("SELECT", None)}
+
+
+def test_text_before_the_first_header_is_a_unit(spark):
+    text = "DELETE FROM t WHERE s = 'PROCEDURE x(a) IS;';\nCREATE OR REPLACE PROCEDURE f0(a NUMBER) IS BEGIN NULL; END;"
+    found = unit_rows(spark, text).orderBy("pos").collect()
+    assert [(u.unit_id, u.unit_kind, u.pos, u.source_code[:13]) for u in found] == [("s0:f0#0", "SCRIPT", 0, "DELETE FROM t"), ("s0:f0", "PROCEDURE", 1, "PROCEDURE f0(")]
+    assert [r.sql for r in statements.extract_statements(unit_rows(spark, text)).collect()] == ["DELETE FROM t WHERE s = 'PROCEDURE x(a) IS;';"]
+    assert units.dropped_parts(scripts(spark, text)).count() == 0
