@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from .components import component_depth
 from .graph import chain_depth
 from .tables import ddl_target, with_names
 
@@ -34,3 +35,9 @@ def lineage_depth(statements: DataFrame) -> DataFrame:
     """
     edges = lineage_edges(statements).select(F.col("target").alias("src"), F.col("source").alias("dst"))
     return chain_depth(edges).withColumnRenamed("node", "table_name")
+
+
+def lineage_components(statements: DataFrame) -> DataFrame:
+    """Tables that feed each other, and for every table the longest chain of writes that ends in it, counted in such groups."""
+    edges = lineage_edges(statements).select(F.col("target").alias("src"), F.col("source").alias("dst"))
+    return component_depth(edges).withColumnRenamed("node", "table_name")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
-from ..operators import corpus_ops, features, lineage, names, packages, routing, statements, tables, unit_features, units
+from ..operators import corpus_ops, features, lineage, names, packages, routing, score_sketches, statements, table_pairs, tables, unit_features, units
 from ..session import scratch_path
 from ..sources import corpus, feedback, readers, sinks
 from ..streaming import jobs
@@ -53,6 +53,12 @@ def _unit_statements(spark, sf):
     return statements.classify(statements.extract_statements(_units(spark, sf)))
 
 
+def _all_statements(spark, sf):
+    """Single statements and those inside procedures and packages."""
+    wanted = ["dialect", "parsed_type", "sql"]
+    return _statements(spark, sf).select(wanted).unionByName(_unit_statements(spark, sf).select(wanted))
+
+
 def _functions(spark, sf):
     return corpus.derive(spark, sf, corpus.LIST_FUNCTIONS)
 
@@ -294,6 +300,11 @@ def lineage_depth(spark, sf):
     return lineage.lineage_depth(_statements(spark, sf))
 
 
+@query
+def lineage_components(spark, sf):
+    return lineage.lineage_components(_all_statements(spark, sf))
+
+
 @query
 def ddl_targets(spark, sf):
     return tables.ddl_targets(_statements(spark, sf), ["stmt_id"])
@@ -444,6 +455,11 @@ def call_chain_depth(spark, sf):
     return packages.call_chain_depth(_package_units(spark, sf), _functions(spark, sf))
 
 
+@query
+def call_components(spark, sf):
+    return packages.call_components(_units(spark, sf), _functions(spark, sf))
+
+
 @query
 def package_chain_depth(spark, sf):
     unit_rows = _package_units(spark, sf)
@@ -466,6 +482,11 @@ def score_quantiles(spark, sf):
     return corpus_ops.score_quantiles(_scores(spark, sf))
 
 
+@query
+def score_quantiles_by_month(spark, sf):
+    return score_sketches.quantiles_by_month(score_sketches.daily_sketches(_scores(spark, sf)))
+
+
 @query
 def corpus_cube(spark, sf):
     return corpus_ops.corpus_cube(_statements(spark, sf))
@@ -481,6 +502,16 @@ def join_partners(spark, sf):
     return corpus_ops.join_partners(_statements(spark, sf))
 
 
+#: Fewest statements that a reported pair of tables shares.
+PAIR_SUPPORT = 5
+
+
+@query
+def frequent_table_pairs(spark, sf):
+    named = tables.with_names(_all_statements(spark, sf)).select(F.concat("reads", "writes", "dynamic_refs").alias("names"))
+    return table_pairs.table_pairs(named, PAIR_SUPPORT)
+
+
 @query
 def list_coverage(spark, sf):
     return corpus_ops.list_coverage(_statements(spark, sf), _tables(spark, sf))

@@ -755,6 +755,22 @@ def _finals() -> dict[str, str]:
           FROM named WHERE parsed_type IN ('INSERT', 'MERGE', 'CREATE'))) WHERE target IS NOT NULL GROUP BY 1, 2"""
     add("lineage_edges", edges, "named")
     add("lineage_depth", *_depth(f"SELECT DISTINCT target AS src, source AS dst FROM ({edges})", "table_name", "named"))
+    every_edge = " UNION ".join(
+        f"""SELECT target AS src, source AS dst FROM (SELECT target, unnest(reads) AS source FROM (
+          SELECT reads, unnest(CASE WHEN parsed_type = 'CREATE' THEN [lower({named(one(shield('sql'), P.CREATE_TABLE))})] ELSE writes END) AS target
+          FROM {table} WHERE parsed_type IN ('INSERT', 'MERGE', 'CREATE'))) WHERE target IS NOT NULL"""
+        for table in ("named", "named_b")
+    )
+    add("lineage_components", *_components(every_edge, "table_name", "named", "named_b"))
+    baskets = " UNION ALL ".join(f"SELECT list_distinct(reads || writes || dynamic_refs) AS names FROM {table}" for table in ("named", "named_b"))
+    cte("baskets", ("named", "named_b"), f"SELECT row_number() OVER () AS basket, names FROM ({baskets})")
+    cte("basket_items", ("baskets",), "SELECT basket, unnest(names) AS name FROM baskets")
+    add(
+        "frequent_table_pairs",
+        """SELECT a.name AS first_table, b.name AS second_table, count(*) AS statements FROM basket_items a JOIN basket_items b ON a.basket = b.basket AND a.name < b.name
+           GROUP BY 1, 2 HAVING count(*) >= 5""",
+        "basket_items",
+    )
     add("ddl_targets", f"SELECT * FROM (SELECT stmt_id, dialect, parsed_type, {ddl} AS target FROM typed WHERE parsed_type IN {values(P.DDL_TARGET)}) WHERE target IS NOT NULL", "typed")
     add(
         "dynamic_table_refs",
@@ -847,6 +863,7 @@ def _finals() -> dict[str, str]:
     add("call_edges", call_edges.format(""), "resolved")
     pairs = "SELECT DISTINCT unit_id AS src, callee_id AS dst FROM resolved_pk WHERE callee_id IS NOT NULL AND unit_id <> callee_id"
     add("call_chain_depth", *_depth(pairs, "unit_id", "resolved_pk"))
+    add("call_components", *_components("SELECT DISTINCT unit_id AS src, callee_id AS dst FROM resolved WHERE callee_id IS NOT NULL", "unit_id", "resolved"))
     depth_sql, *needs = _depth(pairs, "unit_id", "resolved_pk")
     add(
         "package_chain_depth",
@@ -919,6 +936,12 @@ def _finals() -> dict[str, str]:
         "scores",
     )
 
+    add(
+        "score_quantiles_by_month",
+        """SELECT dialect, strftime(ts, '%Y-%m') AS month, count(*) AS units, quantile_disc(score, 0.25) AS p25, quantile_disc(score, 0.5) AS p50,
+           quantile_disc(score, 0.75) AS p75, quantile_disc(score, 0.9) AS p90 FROM scores GROUP BY 1, 2""",
+        "scores",
+    )
     add("stream_scripts", "SELECT unit_id, dialect, statement_count, score FROM scores_v1", "scores_v1")
     closed = "(SELECT max(ts) FROM procedure_scripts) - INTERVAL 10 MINUTE"
     add(
@@ -951,6 +974,28 @@ def _depth(edges: str, node: str, *needs: str) -> tuple[str, ...]:
     )
 
 
+def _components(edges: str, node: str, *needs: str) -> tuple[str, ...]:
+    """Components by mutual reachability; depth by recursion over the graph of components."""
+    cte("edges", needs, edges)
+    cte("nodes", ("edges",), "SELECT src AS node FROM edges UNION SELECT dst FROM edges")
+    cte("reach", ("edges",), "SELECT src, dst FROM edges UNION SELECT r.src, e.dst FROM reach r JOIN edges e ON r.dst = e.src")
+    cte("mutual", ("reach",), "SELECT a.src AS node, a.dst AS other FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src")
+    cte(
+        "member",
+        ("nodes", "mutual"),
+        "SELECT n.node, coalesce(min(m.other), n.node) AS component_id, greatest(count(m.other), 1) AS component_size, count(m.other) > 0 AS on_cycle FROM nodes n LEFT JOIN mutual m ON m.node = n.node GROUP BY n.node",
+    )
+    cte("links", ("edges", "member"), "SELECT DISTINCT a.component_id AS src, b.component_id AS dst FROM edges e JOIN member a ON a.node = e.src JOIN member b ON b.node = e.dst WHERE a.component_id <> b.component_id")
+    cte("walks", ("member", "links"), "SELECT DISTINCT component_id, CAST(1 AS BIGINT) AS depth FROM member UNION SELECT e.src, w.depth + 1 FROM walks w JOIN links e ON e.dst = w.component_id")
+    return (
+        f"""SELECT m.node AS {node}, m.component_id, CAST(m.component_size AS BIGINT) AS component_size, m.on_cycle, d.depth,
+        m.on_cycle OR m.node IN (SELECT r.src FROM reach r JOIN member c ON c.node = r.dst WHERE c.on_cycle) AS reaches_cycle
+        FROM member m JOIN (SELECT component_id, max(depth) AS depth FROM walks GROUP BY 1) d USING (component_id)""",
+        *needs,
+        "member", "reach", "walks",
+    )
+
+
 def _graph_ctes(edges: str, needs: tuple[str, ...]) -> tuple[str, ...]:
     """The graph CTEs are rebuilt for each query that uses them."""
     cte("edges", needs, edges)
