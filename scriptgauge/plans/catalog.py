@@ -15,7 +15,7 @@ from ..functions import patterns as P
 from ..functions import text as T
 from ..operators import corpus_ops, features, lineage, names, packages, routing, score_sketches, statements, table_pairs, tables, unit_features, units
 from ..session import scratch_path
-from ..sources import corpus, feedback, readers, sinks
+from ..sources import archives, corpus, feedback, readers, sinks
 from ..streaming import jobs
 from . import unit_scores as scoring
 
@@ -104,7 +104,19 @@ def default_fill(spark, sf):
 
 @query
 def scan_zip(spark, sf):
-    members = readers.expand_archives(readers.pack_archives(corpus.scripts(spark, sf)))
+    written = archives.write_archives(corpus.scripts(spark, sf), scratch_path(spark, "zip"))
+    return _member_columns(archives.read_members(archives.member_index(written)))
+
+
+@query
+def stream_zip(spark, sf):
+    folder = scratch_path(spark, "zip")
+    archives.write_archives(corpus.scripts(spark, sf), folder)
+    read = lambda batch: archives.read_members(archives.member_index(batch))
+    return _member_columns(jobs.run_batches(archives.stream_archives(spark, folder), read, "stream-zip"))
+
+
+def _member_columns(members):
     return members.select(
         routing.base_name(F.col("member")).alias("base_name"), "charset", size_of("src").alias("chars"), F.md5("src").alias("text_hash")
     )
@@ -305,6 +317,11 @@ def lineage_components(spark, sf):
     return lineage.lineage_components(_all_statements(spark, sf))
 
 
+@query
+def lineage_reach(spark, sf):
+    return lineage.lineage_reach(_all_statements(spark, sf))
+
+
 @query
 def ddl_targets(spark, sf):
     return tables.ddl_targets(_statements(spark, sf), ["stmt_id"])

@@ -636,7 +636,8 @@ def _finals() -> dict[str, str]:
     add("scan_scripts", f"SELECT script_id, dialect, {text('src')} FROM scripts", "scripts")
     add("scan_files", "SELECT md5(src) AS text_hash, count(*) AS copies FROM scripts WHERE length(src) > 0 GROUP BY 1", "scripts")
     add("default_fill", "SELECT coalesce(schema_name, 'HR') AS schema_name, dialect, count(*) AS scripts FROM scripts GROUP BY 1, 2", "scripts")
-    add("scan_zip", f"SELECT {BASE_NAME} AS base_name, 'utf-8' AS charset, {text('src')} FROM scripts", "scripts")
+    for name in ("scan_zip", "stream_zip"):
+        add(name, f"SELECT {BASE_NAME} AS base_name, 'utf-8' AS charset, {text('src')} FROM scripts", "scripts")
     number = "CAST(substr(script_id, 2) AS BIGINT) % 3"
     marked = f"src || CASE {number} WHEN 0 THEN ' -- 表 é' WHEN 1 THEN ' -- 数据' ELSE ' -- é x' END"
     add(
@@ -762,6 +763,11 @@ def _finals() -> dict[str, str]:
         for table in ("named", "named_b")
     )
     add("lineage_components", *_components(every_edge, "table_name", "named", "named_b"))
+    add(
+        "lineage_reach",
+        "SELECT n.node AS table_name, count(r.dst) AS reach, count(r.dst) < 4096 AS exact FROM nodes n LEFT JOIN reach r ON r.src = n.node GROUP BY 1",
+        *_graph_ctes(every_edge, ("named", "named_b")),
+    )
     baskets = " UNION ALL ".join(f"SELECT list_distinct(reads || writes || dynamic_refs) AS names FROM {table}" for table in ("named", "named_b"))
     cte("baskets", ("named", "named_b"), f"SELECT row_number() OVER () AS basket, names FROM ({baskets})")
     cte("basket_items", ("baskets",), "SELECT basket, unnest(names) AS name FROM baskets")

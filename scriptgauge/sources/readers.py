@@ -1,4 +1,4 @@
-"""Read scripts from tables, text files and ZIP archives."""
+"""Read scripts from tables and text files; bytes to text, ZIP archives to bytes and back."""
 
 from __future__ import annotations
 
@@ -92,12 +92,6 @@ def expand_archives(archives: DataFrame) -> DataFrame:
     return archives.select("path", "content").mapInPandas(run, MEMBER_SCHEMA)
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """All members of all archives below ``path``; rows are spread again because one archive is one task."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", True).load(path)
-    return expand_archives(files).repartition(spark.sparkContext.defaultParallelism, "archive", "member")
-
-
 def pack_archives(scripts: DataFrame) -> DataFrame:
     """(path, content): one ZIP per batch of scripts, with a folder and a text file that readers must skip."""
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from scriptgauge.operators import corpus_ops, graph, names
 from scriptgauge.plans import catalog
 from scriptgauge.session import scratch_path
-from scriptgauge.sources import feedback, readers, sinks
+from scriptgauge.sources import archives, feedback, readers, sinks
 
 
 def brute_depth(edges):
@@ -77,7 +77,7 @@ def test_archive_members(spark, tmp_path):
         archive.writestr("../two.sql", "SELECT 2 FROM t;")
         archive.writestr("a/note.txt", "no")
     (tmp_path / "x.zip").write_bytes(buffer.getvalue())
-    found = readers.read_archives(spark, str(tmp_path)).collect()
+    found = archives.read_archives(spark, str(tmp_path)).collect()
     assert {(r.member, r.src) for r in found} == {("a/one.SQL", "SELECT 1 FROM t;"), ("../two.sql", "SELECT 2 FROM t;")}
 
 
