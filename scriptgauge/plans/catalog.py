@@ -16,7 +16,7 @@ from ..functions import text as T
 from ..operators import corpus_ops, features, lineage, names, packages, routing, score_sketches, statements, table_pairs, tables, unit_features, units
 from ..session import scratch_path
 from ..sources import archives, corpus, feedback, readers, sinks
-from ..streaming import jobs
+from ..streaming import accounting, jobs
 from . import unit_scores as scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -581,6 +581,23 @@ def stream_windows(spark, sf):
     return rows.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "dialect", "scripts", long(F.col("chars")).alias("chars"))
 
 
+#: Batches that the files of scripts arrive in.
+ARRIVALS = 4
+
+
+@query
+def stream_accounted(spark, sf):
+    """All scripts, arriving as files that are in no order of time: counts of closed windows with the rows that came late."""
+    files = ARRIVALS * spark.sparkContext.defaultParallelism
+    tables_of = {name: spark.read.parquet(f"{sf}/{name}.parquet").repartition(files, key) for name, key in (("orders", "o_orderkey"), ("customer", "c_custkey"))}
+    scripts = corpus.derive(spark, sf, corpus.CORPUS_SCRIPTS, tables_of).select("script_id", "dialect", "ts", "src")
+    folder = scratch_path(spark, "arriving")
+    scripts.write.parquet(folder)
+    stream = spark.readStream.schema(scripts.schema).option("maxFilesPerTrigger", 2 * files // ARRIVALS).parquet(folder)
+    rows = accounting.totals(accounting.account(stream, "stream-accounted"))
+    return rows.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "dialect", (F.col("on_time") + F.col("late")).alias("scripts"), "chars")
+
+
 @query
 def stream_dedup(spark, sf):
     return jobs.run_to_table(jobs.distinct_texts(_script_stream(spark, sf)), "stream-dedup")

@@ -949,13 +949,14 @@ def _finals() -> dict[str, str]:
         "scores",
     )
     add("stream_scripts", "SELECT unit_id, dialect, statement_count, score FROM scores_v1", "scores_v1")
-    closed = "(SELECT max(ts) FROM procedure_scripts) - INTERVAL 10 MINUTE"
-    add(
-        "stream_windows",
-        f"""SELECT strftime(d, '%Y-%m-%d') AS day, dialect, count(*) AS scripts, CAST(sum(length(src)) AS BIGINT) AS chars
-            FROM (SELECT date_trunc('day', ts) AS d, dialect, src FROM procedure_scripts) WHERE d + INTERVAL 1 DAY <= {closed} GROUP BY 1, 2""",
-        "procedure_scripts",
-    )
+    for name, origin in (("stream_windows", "procedure_scripts"), ("stream_accounted", "scripts")):
+        closed = f"(SELECT max(ts) FROM {origin}) - INTERVAL 10 MINUTE"
+        add(
+            name,
+            f"""SELECT strftime(d, '%Y-%m-%d') AS day, dialect, count(*) AS scripts, CAST(sum(length(src)) AS BIGINT) AS chars
+                FROM (SELECT date_trunc('day', ts) AS d, dialect, src FROM {origin}) WHERE d + INTERVAL 1 DAY <= {closed} GROUP BY 1, 2""",
+            origin,
+        )
     add("stream_dedup", "SELECT DISTINCT md5(src) AS text_hash FROM procedure_scripts", "procedure_scripts")
     stamp = "'%Y-%m-%d %H:%M:%S.%f'"
     add(
