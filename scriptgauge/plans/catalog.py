@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
-from ..operators import corpus_ops, features, lineage, names, packages, routing, score_sketches, statements, table_pairs, tables, unit_features, units
+from ..operators import corpus_ops, features, lineage, moves, names, packages, routing, score_sketches, statements, table_pairs, tables, unit_features, units
 from ..session import scratch_path
 from ..sources import archives, corpus, feedback, readers, sinks
 from ..streaming import accounting, jobs
@@ -541,6 +541,12 @@ def version_diff(spark, sf):
     return corpus_ops.version_diff(old, new)
 
 
+@query
+def version_moves(spark, sf):
+    new = units.split_units(corpus.derive(spark, sf, corpus.CORPUS_MOVED))
+    return moves.version_moves(_units(spark, sf), new).select("old_unit_id", "new_unit_id")
+
+
 @query
 def duplicate_statements(spark, sf):
     return corpus_ops.duplicate_statements(_statements(spark, sf))

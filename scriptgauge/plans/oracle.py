@@ -924,6 +924,14 @@ def _finals() -> dict[str, str]:
              FROM scores_v1 a FULL JOIN scores_v2 b ON a.unit_id = b.unit_id) WHERE state IS NOT NULL""",
         "scores_v1", "scores_v2",
     )
+    renamed = f"CASE WHEN unit_kind = 'SCRIPT' THEN unit_id ELSE {corpus.RENAMED.format('unit_id')} END"
+    add(
+        "version_moves",
+        f"""SELECT unit_id AS old_unit_id, new_unit_id FROM (
+              SELECT unit_id, {corpus.MOVED_SCRIPT} || substr(id, length(script_id) + 1) AS new_unit_id FROM (SELECT *, {renamed} AS id FROM units))
+            WHERE unit_id <> new_unit_id""",
+        "units",
+    )
     normal = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(upper(sql), '''[^'']*''', '?', 'g'), '\b\d+\b', '?', 'g'), '\s+', ' ', 'g'), '[ ;]+$', '', 'g')"
     add("duplicate_statements", f"SELECT md5({normal}) AS text_hash, count(*) AS copies, min(stmt_id) AS first_stmt FROM statements GROUP BY 1 HAVING count(*) > 1", "statements")
     side = lambda d: f"(SELECT DISTINCT table_name FROM ({refs}) WHERE dialect = '{d}')"

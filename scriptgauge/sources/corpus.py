@@ -423,6 +423,15 @@ CORPUS_PROCEDURES_V2 = _orders_scripts(_ORDER_VALUES_V2)
 CORPUS_PACKAGES = _packages()
 CORPUS_SCRIPTS = CORPUS_PROCEDURES + " UNION ALL " + CORPUS_PACKAGES
 
+#: The corpus with units that have moved to another script (every 17th order) or got another name (some of packages and orders), texts unchanged.
+_NUMBER = "CAST(substr(script_id, 2) AS BIGINT)"
+MOVED_SCRIPT = f"(CASE WHEN substr(script_id, 1, 1) = 'o' AND {_NUMBER} % 17 = 3 THEN 'moved_' || script_id ELSE script_id END)"
+RENAMED = (
+    f"(CASE WHEN substr(script_id, 1, 1) = 'c' AND {_NUMBER} % 5 = 2 THEN replace({{0}}, 'p_' || substr(script_id, 2) || '_3', 'q_' || substr(script_id, 2) || '_3') "
+    f"WHEN substr(script_id, 1, 1) = 'o' AND {_NUMBER} % 11 = 2 THEN replace({{0}}, 'proc_' || substr(script_id, 2), 'task_' || substr(script_id, 2)) ELSE {{0}} END)"
+)
+CORPUS_MOVED = f"SELECT {MOVED_SCRIPT} AS script_id, path, dialect, schema_name, ts, {RENAMED.format('src')} AS src FROM ({CORPUS_SCRIPTS})"
+
 LIST_FUNCTIONS = f"SELECT DISTINCT ' fn_' || {_text('p_size % 15')} AS name FROM part UNION ALL SELECT 'Util.Fn_3' UNION ALL SELECT '  '"
 LIST_TABLES = f"SELECT DISTINCT 'T_' || {_text('p_size % 12')} AS name FROM part UNION ALL SELECT 'hot_t' UNION ALL SELECT 's'"
 LIST_PROCEDURES = f"SELECT DISTINCT 'p_' || {_text('s_suppkey % 40')} || ' ' AS name FROM supplier UNION ALL SELECT 'P_HOT'"
