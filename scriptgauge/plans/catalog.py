@@ -55,8 +55,9 @@ def _unit_statements(spark, sf):
 
 def _all_statements(spark, sf):
     """Single statements and those inside procedures and packages."""
-    wanted = ["dialect", "parsed_type", "sql"]
-    return _statements(spark, sf).select(wanted).unionByName(_unit_statements(spark, sf).select(wanted))
+    wanted = ["unit_id", "dialect", "parsed_type", "type", "fail_reason", "sql"]
+    single = _statements(spark, sf).withColumn("unit_id", F.lit(None).cast("string"))
+    return single.select(wanted).unionByName(_unit_statements(spark, sf).select(wanted))
 
 
 def _functions(spark, sf):
@@ -92,9 +93,8 @@ def scan_scripts(spark, sf):
 @query
 def scan_files(spark, sf):
     path = scratch_path(spark, "packed")
-    readers.write_packed_files(corpus.scripts(spark, sf).filter("length(src) > 0"), path)
-    files = readers.read_packed_files(spark, path).filter("length(src) > 1")
-    return files.groupBy(F.md5(F.regexp_replace("src", r"^\n", "")).alias("text_hash")).agg(F.count("*").alias("copies"))
+    readers.write_packed_files(corpus.scripts(spark, sf), path)
+    return readers.read_packed_files(spark, path).groupBy(F.md5("src").alias("text_hash")).agg(F.count("*").alias("copies"))
 
 
 @query
@@ -506,17 +506,17 @@ def score_quantiles_by_month(spark, sf):
 
 @query
 def corpus_cube(spark, sf):
-    return corpus_ops.corpus_cube(_statements(spark, sf))
+    return corpus_ops.corpus_cube(_all_statements(spark, sf))
 
 
 @query
 def hot_tables(spark, sf):
-    return corpus_ops.hot_tables(_statements(spark, sf))
+    return corpus_ops.hot_tables(_all_statements(spark, sf))
 
 
 @query
 def join_partners(spark, sf):
-    return corpus_ops.join_partners(_statements(spark, sf))
+    return corpus_ops.join_partners(_all_statements(spark, sf))
 
 
 #: Fewest statements that a reported pair of tables shares.
@@ -531,7 +531,7 @@ def frequent_table_pairs(spark, sf):
 
 @query
 def list_coverage(spark, sf):
-    return corpus_ops.list_coverage(_statements(spark, sf), _tables(spark, sf))
+    return corpus_ops.list_coverage(_all_statements(spark, sf), _tables(spark, sf))
 
 
 @query
@@ -554,7 +554,7 @@ def duplicate_statements(spark, sf):
 
 @query
 def dialect_table_sets(spark, sf):
-    return corpus_ops.dialect_table_sets(tables.table_refs(_statements(spark, sf), ["stmt_id"]))
+    return corpus_ops.dialect_table_sets(tables.table_refs(_all_statements(spark, sf), []))
 
 
 @query

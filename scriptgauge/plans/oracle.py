@@ -634,7 +634,7 @@ def _finals() -> dict[str, str]:
         return size.format(column) + ", " + md5.format(column)
 
     add("scan_scripts", f"SELECT script_id, dialect, {text('src')} FROM scripts", "scripts")
-    add("scan_files", "SELECT md5(src) AS text_hash, count(*) AS copies FROM scripts WHERE length(src) > 0 GROUP BY 1", "scripts")
+    add("scan_files", "SELECT md5(src) AS text_hash, count(*) AS copies FROM scripts GROUP BY 1", "scripts")
     add("default_fill", "SELECT coalesce(schema_name, 'HR') AS schema_name, dialect, count(*) AS scripts FROM scripts GROUP BY 1, 2", "scripts")
     for name in ("scan_zip", "stream_zip"):
         add(name, f"SELECT {BASE_NAME} AS base_name, 'utf-8' AS charset, {text('src')} FROM scripts", "scripts")
@@ -896,24 +896,34 @@ def _finals() -> dict[str, str]:
            quantile_disc(score, 0.75) AS p75, quantile_disc(score, 0.9) AS p90, max(score) AS max_score FROM scores GROUP BY 1""",
         "scores",
     )
+    columns = "dialect, parsed_type, type, sql, fail_reason, reads, writes, dynamic_refs"
+    cte(
+        "every_named",
+        ("named", "named_b"),
+        f"SELECT 's' || stmt_id AS key, CAST(NULL AS VARCHAR) AS unit_id, {columns} FROM named UNION ALL SELECT unit_id || ':' || stmt_no, unit_id, {columns} FROM named_b",
+    )
     add(
         "corpus_cube",
-        f"SELECT dialect, parsed_type, count(*) AS statements, count(fail_reason) AS failures, CAST(sum({lines('sql')}) AS BIGINT) AS lines, CAST(grouping_id(dialect, parsed_type) AS BIGINT) AS level FROM typed GROUP BY CUBE (dialect, parsed_type)",
-        "typed",
+        f"SELECT dialect, parsed_type, count(*) AS statements, count(fail_reason) AS failures, CAST(sum({lines('sql')}) AS BIGINT) AS lines, CAST(grouping_id(dialect, parsed_type) AS BIGINT) AS level FROM every_named GROUP BY CUBE (dialect, parsed_type)",
+        "every_named",
+    )
+    every_ref = " UNION ALL ".join(
+        f"SELECT key, unit_id, dialect, unnest({names}) AS table_name, '{role}' AS role FROM every_named"
+        for role, names in (("read", "reads"), ("write", "writes"), ("dynamic", "dynamic_refs"), ("ddl", f"list_filter([{ddl}], lambda x: x IS NOT NULL)"))
     )
     roles = ", ".join(f"count(*) FILTER (role = '{r}') AS n_{r}" for r in ("read", "write", "ddl", "dynamic"))
-    add("hot_tables", f"SELECT table_name, {roles}, count(DISTINCT stmt_id) AS statements FROM ({refs}) GROUP BY 1", "named")
+    add("hot_tables", f"SELECT table_name, {roles}, count(DISTINCT key) AS statements, count(DISTINCT unit_id) AS units FROM ({every_ref}) GROUP BY 1", "every_named")
     add(
         "join_partners",
-        "SELECT reads[1] AS leading, partner, count(*) AS n FROM (SELECT reads, unnest(reads[2:]) AS partner FROM named WHERE type = 'SELECT') GROUP BY 1, 2",
-        "named",
+        "SELECT reads[1] AS leading, partner, count(*) AS n FROM (SELECT reads, unnest(reads[2:]) AS partner FROM every_named WHERE type = 'SELECT') GROUP BY 1, 2",
+        "every_named",
     )
     add(
         "list_coverage",
         f"""SELECT coalesce(u.name, l.name) AS name, coalesce(uses, 0) AS uses, CASE WHEN u.name IS NULL THEN 'unused' WHEN l.name IS NULL THEN 'unlisted' ELSE 'both' END AS state
             FROM (SELECT coalesce((SELECT min(name) FROM l_tables WHERE list_contains([used] || str_split(used, '.'), name)), used) AS name, sum(n) AS uses FROM (
-              SELECT used, count(*) AS n FROM (SELECT upper(unnest(list_distinct(reads || writes || dynamic_refs))) AS used FROM named) GROUP BY 1) GROUP BY 1) u FULL JOIN l_tables l ON u.name = l.name""",
-        "named", "l_tables",
+              SELECT used, count(*) AS n FROM (SELECT upper(unnest(list_distinct(reads || writes || dynamic_refs))) AS used FROM every_named) GROUP BY 1) GROUP BY 1) u FULL JOIN l_tables l ON u.name = l.name""",
+        "every_named", "l_tables",
     )
     add(
         "version_diff",
@@ -934,12 +944,12 @@ def _finals() -> dict[str, str]:
     )
     normal = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(upper(sql), '''[^'']*''', '?', 'g'), '\b\d+\b', '?', 'g'), '\s+', ' ', 'g'), '[ ;]+$', '', 'g')"
     add("duplicate_statements", f"SELECT md5({normal}) AS text_hash, count(*) AS copies, min(stmt_id) AS first_stmt FROM statements GROUP BY 1 HAVING count(*) > 1", "statements")
-    side = lambda d: f"(SELECT DISTINCT table_name FROM ({refs}) WHERE dialect = '{d}')"
+    side = lambda d: f"(SELECT DISTINCT table_name FROM ({every_ref}) WHERE dialect = '{d}')"
     add(
         "dialect_table_sets",
         f"""SELECT 'both' AS part, table_name FROM ({side('Oracle')} INTERSECT {side('Gauss')}) UNION ALL SELECT 'either', table_name FROM ({side('Oracle')} UNION {side('Gauss')})
             UNION ALL SELECT 'oracle_only', table_name FROM ({side('Oracle')} EXCEPT {side('Gauss')})""",
-        "named",
+        "every_named",
     )
     add(
         "score_over_time",
