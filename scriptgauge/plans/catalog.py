@@ -536,9 +536,8 @@ def list_coverage(spark, sf):
 
 @query
 def version_diff(spark, sf):
-    old = score_units(spark, units.split_units(corpus.derive(spark, sf, corpus.CORPUS_PROCEDURES)), sf)
-    new = score_units(spark, units.split_units(corpus.derive(spark, sf, corpus.CORPUS_PROCEDURES_V2)), sf)
-    return corpus_ops.version_diff(old, new)
+    new = score_units(spark, units.split_units(corpus.derive(spark, sf, corpus.CORPUS_SCRIPTS_V2)), sf)
+    return corpus_ops.version_diff(_scores(spark, sf), new)
 
 
 @query

@@ -138,7 +138,7 @@ def build(final: str, *needs: str) -> str:
 cte("scripts", (), corpus.CORPUS_SCRIPTS)
 cte("procedure_scripts", (), corpus.CORPUS_PROCEDURES)
 cte("package_scripts", (), corpus.CORPUS_PACKAGES)
-cte("second_scripts", (), corpus.CORPUS_PROCEDURES_V2)
+cte("second_scripts", (), corpus.CORPUS_SCRIPTS_V2)
 cte("raw_statements", (), corpus.CORPUS_STATEMENTS)
 cte("feedback_lines", (), corpus.FEEDBACK)
 for _name, _sql in (("functions", corpus.LIST_FUNCTIONS), ("tables", corpus.LIST_TABLES), ("procedures", corpus.LIST_PROCEDURES)):
@@ -931,8 +931,8 @@ def _finals() -> dict[str, str]:
              SELECT coalesce(a.unit_id, b.unit_id) AS unit_id, a.score AS old_score, a.statement_count AS old_statements, b.score AS new_score, b.statement_count AS new_statements,
                     CASE WHEN a.unit_id IS NULL THEN 'added' WHEN b.unit_id IS NULL THEN 'removed' WHEN a.score <> b.score OR a.statement_count <> b.statement_count THEN 'changed' END AS state,
                     round(coalesce(b.score, 0) - coalesce(a.score, 0), 6) AS delta
-             FROM scores_v1 a FULL JOIN scores_v2 b ON a.unit_id = b.unit_id) WHERE state IS NOT NULL""",
-        "scores_v1", "scores_v2",
+             FROM scores a FULL JOIN scores_v2 b ON a.unit_id = b.unit_id) WHERE state IS NOT NULL""",
+        "scores", "scores_v2",
     )
     renamed = f"CASE WHEN unit_kind = 'SCRIPT' THEN unit_id ELSE {corpus.RENAMED.format('unit_id')} END"
     add(

@@ -385,7 +385,8 @@ PACKAGE_FOURTH = """
 """
 
 
-def _packages() -> str:
+def _packages(second: bool = False) -> str:
+    """Packages; in the second version every tenth reads other tables, some got a third procedure and some lost it."""
     values = {
         "k": _text("c_custkey"),
         "n": _text("c_custkey % 20"),
@@ -403,9 +404,13 @@ def _packages() -> str:
     values["loop"] = (
         f"(CASE WHEN c_custkey % 7 = 3 THEN 'p_' || {_text('c_custkey')} || '_2(p_id - 1);' ELSE 'NULL;' END)"
     )
+    without_third = "c_custkey % 4 = 0"
+    if second:
+        without_third = "c_custkey % 8 = 0 OR c_custkey % 20 = 3"
+        values["t2"] = f"(CASE WHEN c_custkey % 10 = 0 THEN 't_new JOIN t_more ON t_new.id = t_more.id' ELSE {values['t2']} END)"
     third = text_expression(PACKAGE_THIRD.strip("\n"), **values)
     fourth = text_expression(PACKAGE_FOURTH.strip("\n"), **values)
-    values["third"] = f"(CASE WHEN c_custkey % 4 = 0 THEN '' ELSE chr(10) || {third} || chr(10) END)"
+    values["third"] = f"(CASE WHEN {without_third} THEN '' ELSE chr(10) || {third} || chr(10) END)"
     values["fourth"] = f"(CASE WHEN c_custkey % 4 < 2 THEN '' ELSE chr(10) || {fourth} || chr(10) END)"
     return f"""
 SELECT 'c' || {_text('c_custkey')} AS script_id,
@@ -422,6 +427,7 @@ CORPUS_PROCEDURES = _orders_scripts(_ORDER_VALUES)
 CORPUS_PROCEDURES_V2 = _orders_scripts(_ORDER_VALUES_V2)
 CORPUS_PACKAGES = _packages()
 CORPUS_SCRIPTS = CORPUS_PROCEDURES + " UNION ALL " + CORPUS_PACKAGES
+CORPUS_SCRIPTS_V2 = CORPUS_PROCEDURES_V2 + " UNION ALL " + _packages(second=True)
 
 #: The corpus with units that have moved to another script (every 17th order) or got another name (some of packages and orders), texts unchanged.
 _NUMBER = "CAST(substr(script_id, 2) AS BIGINT)"

@@ -158,3 +158,8 @@ def test_a_table_that_feeds_itself_is_recursive(spark):
     edges = spark.createDataFrame([("a", "a"), ("b", "a"), ("c", "d")], "src string, dst string")
     found = {r.node: (r.depth, r.is_recursive) for r in graph.chain_depth(edges).collect()}
     assert found == {"a": (None, True), "b": (None, True), "c": (2, False), "d": (1, False)}
+
+
+def test_version_diff_covers_packages(spark, small):
+    states = {r.state for r in catalog.QUERIES["version_diff"](spark, small).filter("unit_id like 'c%'").select("state").distinct().collect()}
+    assert states == {"added", "removed", "changed"}
