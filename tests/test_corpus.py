@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from scriptgauge.operators import corpus_ops, graph, names
 from scriptgauge.plans import catalog
 from scriptgauge.session import scratch_path
-from scriptgauge.sources import archives, feedback, readers, sinks
+from scriptgauge.sources import archives, corpus, feedback, readers, sinks
 
 
 def brute_depth(edges):
@@ -163,3 +163,11 @@ def test_a_table_that_feeds_itself_is_recursive(spark):
 def test_version_diff_covers_packages(spark, small):
     states = {r.state for r in catalog.QUERIES["version_diff"](spark, small).filter("unit_id like 'c%'").select("state").distinct().collect()}
     assert states == {"added", "removed", "changed"}
+
+
+def test_tasks_grow_with_the_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(corpus, "ROWS_PER_TASK", 10, raising=False)
+    keys = [None, *range(1, 400)]
+    spark.createDataFrame([(k, 1, 1, 1, 1) for k in keys], "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_extendedprice int").write.parquet(str(tmp_path / "lineitem.parquet"))
+    rows = corpus.statements(spark, str(tmp_path))
+    assert rows.rdd.getNumPartitions() == 40 and rows.count() == 400
