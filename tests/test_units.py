@@ -1,9 +1,12 @@
 """Units, their features and scores on small texts."""
 
+import re
+
 import pytest
 
 from scriptgauge.functions import patterns as P
 from scriptgauge.operators import features, names, packages, statements, tables, unit_features, units
+from scriptgauge.plans import unit_scores
 from scriptgauge.plans.unit_scores import score_scripts
 
 SCHEMA = "script_id string, path string, dialect string, schema_name string, ts timestamp, src string"
@@ -270,3 +273,29 @@ def test_rollback_blocks_count_their_begins(spark):
     cases = [("BEGIN a; EXCEPTION b; ROLLBACK; END", 1), ("BEGIN BEGIN x; END; EXCEPTION BEGIN ROLLBACK; END; END", 3), ("BEGIN x; END; ROLLBACK", 0), ("", 0)]
     frame = spark.createDataFrame([(t, n) for t, n in cases], "t string, n int")
     assert frame.filter(unit_features.rollback_block_depth(F.col("t")) != F.col("n")).count() == 0
+
+
+def plan(frame):
+    frame.sparkSession.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    return frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_counts_are_added_up_in_one_walk(spark):
+    text = "CREATE PROCEDURE a(x NUMBER) IS BEGIN SELECT a.c FROM t a JOIN u b ON a.k = b.k WHERE a.c = 1; UPDATE t SET c = 1 WHERE c = 2; END a;"
+    unit = units.split_units(scripts(spark, text, dialect="Oracle"))
+    measured = unit_scores.measured_units(unit, features.weight_table(spark))
+    assert plan(measured).count("aggregate(measured#") == 1
+    m = measured.first()["m"]
+    assert (m["statement_count"], m["join_count"], m["where_condition_count"], m["table_count"]) == (2, 1, 2, 3)
+
+
+def test_statements_end_at_the_first_semicolon():
+    text = "SELECT 1\n ; x; update t set c = 1 \n; DELETE t"
+    for pattern in P.BODY_STATEMENT.values():
+        found = [[m.group(0) for m in re.finditer(p, text)] for p in (pattern, P.to_semicolon(pattern))]
+        assert found[0] == found[1] and len(found[0]) == 2
+
+
+def test_calls_are_resolved_from_one_split(spark):
+    edges = packages.call_edges(units.split_units(scripts(spark, PACKAGE)), listed(spark))
+    assert "PROCEDURE" not in plan(edges)
