@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from scriptgauge.functions import patterns as P
 from scriptgauge.functions import text as T
-from scriptgauge.operators import names, tables, units
+from scriptgauge.operators import corpus_ops, names, tables, units
 
 
 def optimised(frame) -> str:
@@ -69,3 +69,15 @@ def test_names_of_flat_and_bracketed_statements(spark, sql, kind, reads, writes)
 def test_suffixes_of_called_names(spark):
     row = spark.createDataFrame([("f(1); a.b.c(2); d()",)], "t string").select(names.called_suffixes(F.col("t")).alias("n")).head()
     assert row.n == ["F", "A.B.C", "B.C", "C", "D"]
+
+
+def test_list_coverage_reads_the_statements_once(spark):
+    texts = ["SELECT a FROM s.t, u", "SELECT a FROM s.t", "DELETE FROM v"]
+    rows = spark.range(3).select(F.element_at(F.array(*[F.lit(t) for t in texts]), (F.col("id") + 1).cast("int")).alias("sql"))
+    statements = rows.withColumn("parsed_type", F.regexp_extract("sql", "^[A-Z]+", 0))
+    listed = spark.createDataFrame([(" s ",), ("T",), ("v",), ("w",)], "name string")
+    found = corpus_ops.list_coverage(statements, listed)
+    assert optimised(found).count("Range (0, 3") == 1
+    assert {tuple(r) for r in found.collect()} == {
+        ("S", 2, "both"), ("T", 0, "unused"), ("U", 1, "unlisted"), ("V", 1, "both"), ("W", 0, "unused"),
+    }
