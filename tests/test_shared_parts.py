@@ -81,3 +81,10 @@ def test_list_coverage_reads_the_statements_once(spark):
     assert {tuple(r) for r in found.collect()} == {
         ("S", 2, "both"), ("T", 0, "unused"), ("U", 1, "unlisted"), ("V", 1, "both"), ("W", 0, "unused"),
     }
+
+
+def test_score_distribution_scores_the_units_once(spark):
+    scores = spark.range(4).select(F.lit("Oracle").alias("dialect"), (F.col("id") / 2).alias("score"))
+    found = corpus_ops.score_distribution(scores)
+    assert "Range (0, 4" not in optimised(found)
+    assert sorted((r.score, r.n, r.score_rank, r.quartile) for r in found.collect()) == [(0.0, 1, 1, 1), (0.5, 1, 2, 2), (1.0, 1, 3, 3), (1.5, 1, 4, 4)]
