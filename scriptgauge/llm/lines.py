@@ -97,13 +97,47 @@ def signatures(docs: DataFrame, indexed: bool, text: str = "text") -> DataFrame:
     return docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "key long, h long, n long")
 
 
+def gram_parity(lines: list[str], size: int, words: int = 1) -> np.ndarray:
+    """``(words, lines)``: 64 parities a word of each line's hashed runs of ``size`` characters, ends included.
+
+    An edit takes and brings ``size`` runs at most, so it turns ``2 * size`` bits at most.
+    """
+    if not lines:
+        return np.zeros((words, 0), np.int64)
+    ends = "\n" * max(1, size - 1)  # no run reaches into the line before
+    starts = np.append(0, np.cumsum(np.array([len(x) + len(ends) for x in lines], dtype=np.int64)))[:-1]
+    flat = np.frombuffer("".join(x + ends for x in lines).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    mixed = flat.copy()
+    for back in range(1, size):
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + np.append(np.full(back, 10, np.uint64), flat[:-back])
+    mixed = mixed * np.uint64(0xC2B2AE3D27D4EB4F)
+    mixed ^= mixed >> np.uint64(31)
+    mixed *= np.uint64(0x9E3779B97F4A7C15)
+    bits, word = np.uint64(1) << (mixed >> np.uint64(58)), (mixed >> np.uint64(40)) % np.uint64(words)
+    return np.stack([np.bitwise_xor.reduceat(np.where(word == w, bits, np.uint64(0)), starts).view(np.int64) for w in range(words)])
+
+
 def pair_parity(lines: list[str]) -> np.ndarray:
     """64 parities of each line's hashed character pairs; an edit takes and brings two pairs at most, so it turns four bits at most."""
-    sizes = np.array([len(x) + 1 for x in lines], dtype=np.int64)
-    flat = np.frombuffer("".join(x + "\n" for x in lines).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
-    mixed = (np.append(np.uint64(10), flat[:-1]) * np.uint64(0x9E3779B97F4A7C15) + flat) * np.uint64(0xC2B2AE3D27D4EB4F)
-    bits = np.uint64(1) << (mixed >> np.uint64(58))
-    return np.bitwise_xor.reduceat(bits, np.append(0, np.cumsum(sizes))[:-1]).view(np.int64) if len(lines) else np.zeros(0, np.int64)
+    return gram_parity(lines, 2)[0]
+
+
+#: What is known of a line without its text: words of parities of its runs of so many characters, and its length.
+PARITY_WORDS = {1: 1, 2: 4, 3: 4}
+PARITIES = [f"g{size}_{w}" for size, words in PARITY_WORDS.items() for w in range(words)]
+OUTLINE = f"struct<{','.join(f'{p}:bigint' for p in PARITIES)},length:int>"
+
+
+def outlines(lines: list[str]) -> pa.Array:
+    parities = [pa.array(word) for size, words in PARITY_WORDS.items() for word in gram_parity(lines, size, words)]
+    return pa.StructArray.from_arrays([*parities, pa.array([len(x) for x in lines], pa.int32())], names=[*PARITIES, "length"])
+
+
+def may_link(x: str = "bits_x", y: str = "bits_y") -> str:
+    """SQL: whether two outlines allow the edits that lines of these lengths may differ by; true where one is not known."""
+    edits = f"least({MAX_EDITS}, least({x}.length, {y}.length) div {CHARS_PER_EDIT})"
+    turned = [f"{' + '.join(f'bit_count({x}.g{n}_{w} ^ {y}.g{n}_{w})' for w in range(words))} <= {2 * n} * {edits}" for n, words in PARITY_WORDS.items()]
+    return f"coalesce(abs({x}.length - {y}.length) <= {edits} and {' and '.join(turned)}, true)"
 
 
 def within(left: list[str], right: list[str], edits: np.ndarray) -> np.ndarray:
@@ -176,9 +210,9 @@ def verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str) -> tuple
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "line"):
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pair_parity(part.column(2).to_pylist()))], names=["key", "h", "line", "bits"])
+                yield pa.RecordBatch.from_arrays([*part.columns, outlines(part.column(2).to_pylist())], names=["key", "h", "line", "bits"])
 
-    texts = settled(found.mapInArrow(mark, "key binary, h long, line string, bits long"), "line-texts")
+    texts = settled(found.mapInArrow(mark, f"key binary, h long, line string, bits {OUTLINE}"), "line-texts")
     sides = [texts.select(F.col("h").alias(h), F.col("key").alias(k), F.col("line").alias(t)) for h, k, t in (("x", "a", "left"), ("y", "b", "right"))]
     both = pairs.join(sides[0], "x").join(sides[1], "y").select("a", "b", "left", "right").where("abs(length(left) - length(right)) <= " + str(MAX_EDITS))
 
@@ -198,8 +232,9 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 
     Lines that share a signature meet its most frequent owner first. Only those that
     this leaves in different classes meet each other, and of those only pairs whose
-    parities of character pairs allow so few edits: large groups of variants of one
-    line, and of lines that share only a part, cost no comparison per pair.
+    lengths and parities (of characters, pairs and triples of them) allow so few edits:
+    large groups of variants of one line, and of lines that share only a part, cost no
+    comparison per pair.
     """
     owners = signatures(docs, True, text).groupBy("key", "h").agg(F.sum("n").alias("n")).groupBy("key").agg(F.max(F.struct("n", "h"))["h"].alias("hub"), F.count("*").alias("owners"))
     met = settled(signatures(docs, False, text).select("key", "h").join(owners, "key").where("owners > 1 or h <> hub").distinct(), "line-meetings")
@@ -208,8 +243,8 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     classed = met.where("owners > 1").select("key", "h").join(roots, "h", "left").select("key", "h", F.coalesce("root", F.unhex(F.hex("h"))).alias("root"), "bits")
     classed = settled(classed, "line-classes")
     sides = [classed.select("key", F.col("h").alias(x), F.col("root").alias(f"root_{x}"), F.col("bits").alias(f"bits_{x}")) for x in ("x", "y")]
-    few = f"coalesce(bit_count(bits_x ^ bits_y) <= {4 * MAX_EDITS}, true)"  # of lines whose hashes are not their own, nothing is known
-    others = sides[0].join(sides[1], "key").where(f"x < y and root_x <> root_y and {few}")
+    # of lines whose hashes are not their own, no outline is known
+    others = sides[0].join(sides[1], "key").where(f"x < y and root_x <> root_y and {may_link()}")
     second, _ = verified(settled(_unordered(others, "x", "y"), "line-pairs"), docs, doc_id, text)
     return first.unionAll(second)
 

@@ -50,6 +50,28 @@ def test_parities_turn_four_bits_an_edit():
         assert turned.max() <= 4 * edits and len(lines.pair_parity([])) == 0
 
 
+def test_outlines_keep_every_link_and_tell_inserted_words_apart(spark):
+    rng = random.Random(5)
+    base = "".join(rng.choice("abcdefghijklmnop ") for _ in range(90))
+    lines_of = [base[:at] + "".join(rng.choice("qrstuvwxyzabcdef") for _ in range(4)) + base[at:] for at in (rng.randrange(90) for _ in range(50))]
+    lines_of += [edited(rng.choice(lines_of), rng.choice([1, 2]), rng) for _ in range(30)] + ["", "é" * 25, "é" * 24 + "x", "short line of text 1"]
+    for size, words in lines.PARITY_WORDS.items():
+        for edits in (1, 2):
+            near = [edited(x, edits, rng) for x in lines_of]
+            turned = np.bitwise_count(lines.gram_parity(lines_of, size, words).view(np.uint64) ^ lines.gram_parity(near, size, words).view(np.uint64)).sum(axis=0)
+            assert turned.max() <= 2 * size * edits
+    # a line's parities do not depend on the lines beside it
+    assert lines.outlines(lines_of).to_pylist()[7:9] == lines.outlines(lines_of[7:9]).to_pylist() and len(lines.outlines([])) == 0
+    rows = [{"i": i, "bits": o} for i, o in enumerate(lines.outlines(lines_of).to_pylist())]
+    frame = spark.createDataFrame(rows, f"i int, bits {lines.OUTLINE}")
+    sides = [frame.selectExpr(f"i as {x}", f"bits as bits_{x}") for x in ("x", "y")]
+    kept = {(r.x, r.y) for r in sides[0].crossJoin(sides[1]).where(f"x < y and {lines.may_link()}").select("x", "y").collect()}
+    real = {(i, j) for i, a in enumerate(lines_of) for j, b in enumerate(lines_of) if i < j and a != b and linked(a, b)}
+    assert len(real) > 10 and real <= kept
+    inserted = {(i, j) for i, j in kept if j < 50}
+    assert len(inserted - real) < 0.02 * 50 * 49 / 2
+
+
 def by_brute_force(docs):
     spots = sorted((lines.LAST if i is None else i, n, x) for i, t in docs for n, x in enumerate((t or "").split("\n")) if lines.VISIBLE.search(x))
     texts = sorted({x for *_, x in spots})
