@@ -35,6 +35,8 @@ BROADCAST_LINES = 500_000
 LAST = 2**63 - 1
 VISIBLE = re.compile(r"[^\x20\x09-\x0D]")
 PAIRS = 4096
+#: Characters of lines whose signatures are computed together, and an odd number whose powers weigh them.
+CHUNK_CHARS, BASE = 30_000, 0xD1342543DE82EF95
 
 
 def edits_allowed(length: int) -> int:
@@ -65,6 +67,67 @@ def probes(length: int) -> tuple[tuple[int, int, int, int], ...]:
     return tuple(out)
 
 
+@lru_cache(maxsize=20_000)
+def cuts(length: int, indexed: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, size and seed (indexed length and segment) of the substrings that a line of this length is indexed by or probes with."""
+    own = [(length, i, at, size) for i, (at, size) in enumerate(segments(length))] if indexed else probes(length)
+    return tuple(np.array(x, dtype) for x, dtype in (([at for _, _, at, _ in own], np.int64), ([n for *_, n in own], np.int64), ([size * 8 + i for size, i, _, _ in own], np.uint64)))
+
+
+@lru_cache(maxsize=2)
+def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of an odd number and of its inverse, modulo 2^64."""
+    return tuple(np.cumprod(np.append(np.uint64(1), np.full(size - 1, base, np.uint64))) for base in (BASE, pow(BASE, -1, 1 << 64)))
+
+
+def substring_keys(text: str, at: np.ndarray, sizes: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """Hashes of substrings, wherever they stand: differences of sums over the text's mixed characters times powers."""
+    mixed = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    power, back = powers(1 << max(15, len(mixed).bit_length()))
+    mixed += np.uint64(1)
+    mixed *= np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(29)
+    mixed *= power[: len(mixed)]
+    sums = np.zeros(len(mixed) + 1, np.uint64)
+    np.cumsum(mixed, out=sums[1:])
+    keys = (sums[at + sizes] - sums[at]) * back[at] + seeds * np.uint64(0x9E3779B97F4A7C15)
+    keys ^= keys >> np.uint64(32)
+    keys *= np.uint64(0xC2B2AE3D27D4EB4F)
+    keys ^= keys >> np.uint64(29)
+    return keys
+
+
+def chunks(lines: list[str]) -> Iterator[list[str]]:
+    """The lines in runs of CHUNK_CHARS characters at most; a longer line is a run of its own."""
+    start, size = 0, 0
+    for i, line in enumerate(lines):
+        size += len(line)
+        if size > CHUNK_CHARS and i > start:
+            yield lines[start:i]
+            start, size = i, len(line)
+    if start < len(lines):
+        yield lines[start:]
+
+
+def line_keys(lines: list[str], indexed: bool) -> tuple[np.ndarray, list[int]]:
+    """Signatures of all the lines, one line's after the other, and how many each has."""
+    found = [cuts(len(x), indexed) for x in lines]
+    sizes = [len(x[0]) for x in found]
+    at, lengths, seeds = (np.concatenate(x) for x in zip(*found, strict=True))
+    if len(lines) == 1 and len(lines[0]) > CHUNK_CHARS:  # parts of a long line, so that memory does not grow with it
+        return np.array([_long_key(lines[0], a, n, s) for a, n, s in zip(at.tolist(), lengths.tolist(), seeds.tolist(), strict=True)], dtype=np.uint64), sizes
+    starts = np.append(0, np.cumsum([len(x) for x in lines]))[:-1]
+    return substring_keys("".join(lines), at + np.repeat(starts, sizes), lengths, seeds), sizes
+
+
+def _long_key(line: str, at: int, size: int, seed: int) -> int:
+    from xxhash import xxh64_intdigest
+
+    if seed // 8 > CHUNK_CHARS:  # the indexed line is as long
+        return xxh64_intdigest(line[at : at + size].encode("utf-8", "surrogatepass"), seed)
+    return int(substring_keys(line[at : at + size], np.zeros(1, np.int64), np.array([size]), np.array([seed], dtype=np.uint64))[0])
+
+
 def signatures(docs: DataFrame, indexed: bool, text: str = "text") -> DataFrame:
     """``(key, h, n)`` of every line long enough for an edit: its hashed segments, or the substrings that it probes with.
 
@@ -79,20 +142,11 @@ def signatures(docs: DataFrame, indexed: bool, text: str = "text") -> DataFrame:
                 counts = Counter(x for t in part.column(0).to_pylist() if t for x in t.split("\n") if len(x) >= CHARS_PER_EDIT)
                 found = [x for x in counts if VISIBLE.search(x)]
                 for chosen in (found[i : i + 2000] for i in range(0, len(found), 2000)):
-                    keys, sizes, hashes = [], [], []
-                    for line in chosen:
-                        raw = line.encode("utf-8", "surrogatepass")
-                        hashes.append(xxh64_intdigest(raw, 42))
-                        cut = (lambda a, n, raw=raw: raw[a : a + n]) if len(raw) == len(line) else (lambda a, n, line=line: line[a : a + n].encode("utf-8", "surrogatepass"))
-                        if indexed:
-                            own = [xxh64_intdigest(cut(a, n), len(line) * 8 + i) for i, (a, n) in enumerate(segments(len(line)))]
-                        else:
-                            own = [xxh64_intdigest(cut(a, n), size * 8 + i) for size, i, a, n in probes(len(line))]
-                        keys += own
-                        sizes.append(len(own))
-                    signed = [np.array(x, dtype=np.uint64).view(np.int64) for x in (keys, hashes)]
+                    each = [line_keys(x, indexed) for x in chunks(chosen)]
+                    keys, sizes = np.concatenate([k for k, _ in each]), [n for _, x in each for n in x]
+                    hashes = np.array([xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 42) for x in chosen], dtype=np.uint64).view(np.int64)
                     times = np.array([counts[x] for x in chosen])
-                    yield pa.RecordBatch.from_arrays([pa.array(signed[0]), pa.array(np.repeat(signed[1], sizes)), pa.array(np.repeat(times, sizes))], names=["key", "h", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.repeat(hashes, sizes)), pa.array(np.repeat(times, sizes))], names=["key", "h", "n"])
 
     return docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "key long, h long, n long")
 

@@ -1,8 +1,10 @@
 """The edit-distance join against all pairs, and what is left of documents."""
 
 import random
+import time
 
 import numpy as np
+import xxhash
 
 from scriptgauge.llm import lines, queries
 
@@ -129,3 +131,35 @@ def test_query_over_given_texts(spark, small):
     out = queries.op4_line_dedup(spark, small)
     assert out.columns == ["doc_id", "line_no", "class_doc_id", "class_line_no", "kept"]
     assert out.where("kept != (doc_id = class_doc_id and line_no = class_line_no)").count() == 0 and out.where("not kept").count() > 0
+
+
+def test_signatures_of_equal_substrings_are_equal(spark, monkeypatch):
+    """A substring has one signature wherever it stands, also in lines of another chunk and in lines about as long as a chunk."""
+    rng = random.Random(11)
+    base = ["".join(rng.choice("abcdé𝄞 ") for _ in range(rng.randrange(20, 120))) for _ in range(200)]
+    plain = lambda x, indexed: [(s * 8 + i, x[a : a + n]) for s, i, a, n in ([(len(x), i, a, n) for i, (a, n) in enumerate(lines.segments(len(x)))] if indexed else lines.probes(len(x)))]
+    for most in (60, 61, 1000, 200_000):
+        monkeypatch.setattr(lines, "CHUNK_CHARS", most)
+        told = {}
+        for indexed in (True, False):
+            for chunk in lines.chunks(base):
+                keys, sizes = lines.line_keys(chunk, indexed)
+                parts = [p for x in chunk for p in plain(x, indexed)]
+                assert sum(sizes) == len(parts) == len(keys)
+                for part, key in zip(parts, keys.tolist(), strict=True):
+                    assert told.setdefault(part, key) == key
+        assert len(set(told.values())) == len(told)
+
+
+def test_signatures_are_not_taken_one_by_one():
+    rng = random.Random(12)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(200)) for _ in range(20_000)]
+    took = []
+    for _ in range(3):  # the first fills the caches
+        start = time.process_time()
+        found = sum(len(lines.line_keys(chunk, False)[0]) for chunk in lines.chunks(base))
+        middle = time.process_time()
+        single = [xxhash.xxh64_intdigest(x[a : a + n].encode("utf-8", "surrogatepass"), s * 8 + i) for x in base for s, i, a, n in lines.probes(len(x))]
+        took.append((middle - start) / (time.process_time() - middle))
+        assert found == len(single)
+    assert min(took) < 0.8
