@@ -92,13 +92,17 @@ def expand_archives(archives: DataFrame) -> DataFrame:
     return archives.select("path", "content").mapInPandas(run, MEMBER_SCHEMA)
 
 
+#: Code points of scripts that go into one archive, beyond its last script. A few scripts each would be a million files to list at 6 GB.
+ARCHIVE_CHARS = 4_000_000
+
+
 def pack_archives(scripts: DataFrame) -> DataFrame:
-    """(path, content): one ZIP per batch of scripts, with a folder and a text file that readers must skip."""
+    """(path, content): ZIPs of about ARCHIVE_CHARS of scripts, with a folder and a text file that readers must skip."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for start in range(0, len(batch), 50):
-                part = batch.iloc[start : start + 50]
+            lot = batch["src"].str.len().cumsum() // ARCHIVE_CHARS
+            for _, part in batch.groupby(lot, sort=False, dropna=False):
                 buffer = io.BytesIO()
                 with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
                     archive.writestr("in/", "")

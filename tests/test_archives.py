@@ -4,7 +4,8 @@ import io
 import random
 import zipfile
 
-from scriptgauge.sources import archives
+from scriptgauge.plans import catalog
+from scriptgauge.sources import archives, readers
 from scriptgauge.streaming import jobs
 
 
@@ -79,3 +80,19 @@ def test_written_archives_as_a_stream(spark, tmp_path):
     read = lambda batch: archives.read_members(archives.member_index(batch))
     found = jobs.run_batches(archives.stream_archives(spark, str(tmp_path / "zips")), read, "zips")
     assert sorted((r.member, r.src) for r in found.collect()) == sorted((f"in/{i}.sql", f"SELECT {i}") for i in range(130))
+
+
+def test_archives_are_parted_by_size_not_by_number(spark):
+    """A few scripts per archive would be a million files at 6 GB; long scripts still part them."""
+    short = spark.createDataFrame([(f"in/{i}.sql", "SELECT 1;") for i in range(400)], "path string, src string").coalesce(1)
+    assert readers.pack_archives(short).count() == 1
+    long = spark.createDataFrame([(f"in/{i}.sql", "x" * 3_000_000) for i in range(4)] + [("in/e.sql", "")], "path string, src string").coalesce(1)
+    sizes = [len(zipfile.ZipFile(io.BytesIO(bytes(r.content))).namelist()) for r in readers.pack_archives(long).collect()]
+    assert sum(sizes) == 5 + 2 * len(sizes) and len(sizes) == 4
+
+
+def test_stream_keeps_no_texts(spark, small, monkeypatch):
+    kept = []
+    monkeypatch.setattr(jobs, "run_batches", lambda stream, transform, label: kept.append(transform(spark.createDataFrame([], "path string")).columns))
+    catalog.stream_zip(spark, small)
+    assert kept == [["base_name", "charset", "chars", "text_hash"]]
