@@ -1,11 +1,14 @@
 """Costly parts of the text expressions are computed once per text, with the same results."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from scriptgauge.functions import patterns as P
 from scriptgauge.functions import text as T
-from scriptgauge.operators import corpus_ops, names, tables, units
+from scriptgauge.operators import corpus_ops, features, names, tables, units
 
 
 def optimised(frame) -> str:
@@ -88,3 +91,39 @@ def test_score_distribution_scores_the_units_once(spark):
     found = corpus_ops.score_distribution(scores)
     assert "Range (0, 4" not in optimised(found)
     assert sorted((r.score, r.n, r.score_rank, r.quartile) for r in found.collect()) == [(0.0, 1, 1, 1), (0.5, 1, 2, 2), (1.0, 1, 3, 3), (1.5, 1, 4, 4)]
+
+
+def test_guarded_patterns_match_the_same(spark):
+    """A look at the first letter before a word boundary leaves every match as it was."""
+    plain = {name: p for name, p in vars(P).items() if isinstance(p, str) and name.isupper()}
+    plain |= {f"{name}:{key}": p for name, found in vars(P).items() if isinstance(found, dict) and name.isupper() for key, p in found.items()}
+    changed = {name: p for name, p in plain.items() if P.guarded(p) != p}
+    assert {"LOOP", "FROM_CLAUSE", "AND_OR", "UNIT_SPLIT", "BODY_STATEMENT:Oracle"} <= set(changed) and P.guarded(P.NOT_BLANK) == P.NOT_BLANK
+    rng = random.Random(3)
+    words = "SELECT from fRoM a.b WHERE wherever AND OR orx LOOP END loop; ( ) , JOIN update ONLY t SET é表 éFROM FROMé _from 1from INTO insert\n create OR replace PROCEDURE p(x) IS begin exception ROLLBACK end; 'x' with q as cursor c IS commit \U000f0041 \U000f0100 1".split(" ")
+    texts = [rng.choice(["", " "]).join(rng.choice(words) + rng.choice(["", " ", "\n"]) for _ in range(rng.randrange(40))) for _ in range(200)] + ["", None]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    for name in sorted(changed):
+        p, g = changed[name], P.guarded(changed[name])
+        pairs = [F.split("t", p), F.split("t", g), F.regexp_extract_all("t", F.lit(p), F.lit(0)), F.regexp_extract_all("t", F.lit(g), F.lit(0))]
+        assert frame.select(*[x.alias(f"c{i}") for i, x in enumerate(pairs)]).filter("NOT (c0 <=> c1) OR NOT (c2 <=> c3)").isEmpty(), name
+
+
+def test_line_counts_by_breaks(spark):
+    texts = ["", None, " \n", "a", "a\n", "a\r\n\r\n", "a\n\r", "a\n\nb", "\n\na\r\nb\n\n", "a\rb", "é\n表", "a\r\n\r"]
+    expected = [0 if not t or not t.strip(" \t\r\n") else len(re.findall(r"\r?\n", re.sub(r"(\r?\n)+\Z", "", t))) + 1 for t in texts]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.line_count(F.col("t")).alias("n")).orderBy("i").collect()
+    assert [r.n for r in rows] == expected
+
+
+def test_statement_score_is_no_chain_of_sums(spark):
+    """A chain of sums inside a row looks up the types of all before it at every sum."""
+    counts = {name: F.lit(i + 1).cast("bigint") for i, name in enumerate(features.SCORED)}
+    weights = F.struct(*[F.lit(0.1 * (i + 1)).alias(name) for i, name in enumerate(features.SCORED)])
+    column = features.score_of(F.lit("x"), F.lit("SELECT"), F.lit("Hive"), counts, weights).alias("s")
+    expected = 0.0
+    for i in range(len(features.SCORED)):
+        expected += (i + 1) * (0.1 * (i + 1))
+    frame = spark.range(1).select(column)
+    assert frame.first().s == expected
+    assert "aggregate(array(" in frame._jdf.queryExecution().analyzed().toString()
